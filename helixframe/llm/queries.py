@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, minhash, mixing, packing, quality_rules, suffix_dedup, token_counts, toxicity
+from . import chat_format, exact_dedup, minhash, mixing, packing, pii, quality_rules, suffix_dedup, token_counts, toxicity
 from .tokens import vocabulary_path
 
 
@@ -47,6 +47,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents"), b"surrogates of the op8 query")
+    kind = lambda k: F.size(F.filter("entities", lambda e: e["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *map(kind, pii.KINDS), "text", "entities")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -1,0 +1,50 @@
+import random
+import re
+
+from helixframe.llm import pii
+
+KEY = b"k"
+TEXT = 'Mail Ann.b-7@mail7.example.com, call +1 (017) 555-7713 or 987-654-3210; from 244.1.30.9. Card 4111 1111 1111 1111 and 9807915762804490. SSN 078-05-1120. token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f". Frau Greta Müller, Mr. Paul Иванов.'
+
+
+def test_kinds_and_forms():
+    new, found = pii.replace(TEXT, KEY)
+    assert [f.kind for f in found] == ["email", "phone", "phone", "ip", "card", "card", "ssn", "secret", "name", "name"]
+    shape = lambda s: re.sub(r"[a-zà-ÿа-я]", "a", re.sub(r"[A-ZÀ-ÞА-Я]", "A", re.sub(r"\d", "9", s)))
+    for f in found:
+        assert f.surrogate != f.value and f.value not in new
+        if f.kind not in ("ip", "secret", "name"):
+            assert shape(f.surrogate) == shape(f.value)
+    by = {f.value: f.surrogate for f in found}
+    assert all(0 <= int(x) < 256 for x in by["244.1.30.9"].split("."))
+    d = by["4111 1111 1111 1111"].replace(" ", "")
+    assert pii.luhn(d[:-1]) == int(d[-1])
+    assert by["Greta Müller"].split()[0] in pii._FEMALE and by["Paul Иванов"].split()[0] in pii._MALE
+    assert re.fullmatch("[А-Я][а-я]{5}", by["Paul Иванов"].split()[1])
+    assert re.fullmatch("[0-9a-f]{40}", by["9c8b45435718dcc700c184a7e303cdc64c6a8f7f"])
+
+
+def test_clean_text_stays():
+    for t in ["", "Version 2.0. 1.2.3", "a @ b", "In 1999-2001 12345 things, 3.14159265358979 more.", "token of love", "CC BY-NC 4.0.", "x" * 9000]:
+        assert pii.replace(t, KEY) == (t, [])
+
+
+def test_permutations():
+    for n in (3, 10, 26, 1000):
+        assert sorted(pii.permute(i, n, KEY, b"t") for i in range(n)) == list(range(n))
+    assert pii.surrogate("email", "A@b.com", KEY) == pii.surrogate("email", "A@b.com", KEY) != pii.surrogate("email", "A@b.com", b"other")
+    assert pii.surrogate("email", "AB@b.com", KEY).lower() == pii.surrogate("email", "ab@b.com", KEY)
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert digits(pii.surrogate("phone", "+1 (017) 555-7713", KEY)) == digits(pii.surrogate("phone", "+1.017.555.7713", KEY))
+
+
+def test_distinct_over_a_corpus(spark):
+    r = random.Random(1)
+    rows = [(i, f"x {r.randrange(256)}.1.1.{r.randrange(9)} y +1 (555) 555-{r.randrange(300):04d} {r.randrange(99)}@ex.com and {r.choice(['Mr. Paul', 'Frau Anna'])} {r.choice(['Braun', 'Klein'])}") for i in range(500)]
+    docs = spark.createDataFrame([(*x, 1) for x in rows] + [(None, None, 1), (0, "no", 1)], "doc_id long, text string, entities int")
+    assert pii.collisions(pii.entities(docs, KEY)).count() == 0
+    out = pii.pseudonymise(docs, KEY).collect()
+    assert len(out) == 502
+    for o in out:
+        assert not o.entities or all(o.text.count(e.surrogate) for e in o.entities)
+    assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
