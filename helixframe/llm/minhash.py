@@ -9,8 +9,8 @@ Nothing grows with the square of a group:
 * equal sets are folded to one representative first;
 * in each bucket, documents are compared with a pivot, the member that shares most buckets with others, then with the bucket's least
   member; what is in one component by then needs no further comparison;
-* only buckets that still hold several components compare members of different ones, after an exact filter on sizes and
-  on parity bitmaps (a lower bound of the symmetric difference).
+* only buckets that still hold several components compare members of different ones, which an exact prefix filter pairs; no set is moved
+  for a pair that sizes or parity bitmaps (a lower bound of the symmetric difference) rule out.
 
 Defined results: null text counts as empty; an empty set has n_shingles 0 and is linked with nothing, as is a row with a null
 id; repeated rows come out as often as they come in, with one result; an empty table gives an empty result; other columns are ignored.
@@ -26,12 +26,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, cut, tidy
 
 BITMAP_WORDS = 16
+#: Mean length of the lists that a document is compared with at once.
+LIST = 64
 
 
 @dataclass(frozen=True)
@@ -174,15 +176,22 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     raise RuntimeError("components did not settle")
 
 
+def _may_link(ba, bb, na, nb, percent: int):
+    """False only where parity bitmaps show that two sets are too different.
+
+    J >= q/100  <=>  (100 + q) * |difference| <= (100 - q) * (na + nb)
+    """
+    apart = F.aggregate(F.zip_with(ba, bb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (100 + percent) * apart <= (100 - percent) * (na + nb)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with the verdict of their full sets; sizes and bitmaps are looked at before any set is moved."""
     small = sets.select("doc", F.size("shingles").alias("n"), "bits")
     left = small.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     right = small.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     p = pairs.join(left, "a").join(right, "b")
-    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # J >= q/100  <=>  (100 + q) * |difference| <= (100 - q) * (na + nb)
-    possible = ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    possible = _may_link(F.col("ba"), F.col("bb"), F.col("na"), F.col("nb"), percent) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     p = p.select("a", "b", possible.alias("possible"))
     far = p.where(~F.col("possible")).select("a", "b", F.lit(False).alias("linked"))
     near = p.where("possible").select("a", "b")
@@ -215,35 +224,66 @@ def _link(t: DataFrame, members: DataFrame, nodes: DataFrame, p: MinHashParams)
     wanted = nodes.select(F.col("doc").alias("doc_id"))
     # the ids are the small side: no sort of texts
     sets = cut(full_sets(t.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), p).dropDuplicates(["doc"]))
-    labels = nodes.select("doc", F.col("doc").alias("comp"))
     heavy = members.join(nodes, "doc").groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc")).alias("low"))).alias("top"), F.min("doc").alias("least"))
     hubs = cut(members.select("key", "doc").join(heavy.select("key", (-F.col("top.low")).alias("pivot"), "least"), "key"))
-    tried = edges = None
-
-    def verdicts(pairs: DataFrame) -> None:
-        """Compare pairs not compared yet; links join components."""
-        nonlocal tried, edges, labels
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        seen = cut(_confirm(pairs, sets, p.percent))
-        found = seen.where("linked").select("a", "b")
-        tried = seen.select("a", "b") if tried is None else tried.unionByName(seen.select("a", "b"))
-        edges = found if edges is None else edges.unionByName(found)
-        if not found.isEmpty():
-            labels = components(nodes, edges)
-
     # each document first meets the pivot it shares most buckets with
     best = hubs.where("pivot <> doc").groupBy("doc", "pivot").agg(F.count("*").alias("n")).groupBy("doc").agg(F.max(F.struct("n", (-F.col("pivot")).alias("low"))).alias("m"))
-    verdicts(best.select(F.col("doc").alias("x"), (-F.col("m.low")).alias("y")))
-    for hub in ("pivot", "least"):
-        apart = hubs.join(labels, "doc").join(labels.select(F.col("doc").alias(hub), F.col("comp").alias("hub_comp")), hub).where("comp <> hub_comp")
-        verdicts(apart.select(F.col("doc").alias("x"), F.col(hub).alias("y")))
-    # buckets of several components: members of different ones
+    best = best.select("doc", (-F.col("m.low")).alias("hub"))
+    seen = cut(_confirm(_pairs(best, "doc", "hub"), sets, p.percent))
+    # then the pivots and least members of its other buckets, unless both are linked with one pivot
+    linked = best.withColumns({"a": F.least("doc", "hub"), "b": F.greatest("doc", "hub")}).join(seen.where("linked").select("a", "b"), ["a", "b"]).select("doc", F.col("hub").alias("star"))
+    stars = cut(nodes.select("doc").join(linked, "doc", "left").select("doc", F.coalesce("star", "doc").alias("star")))
+    other = hubs.select("doc", F.explode(F.array("pivot", "least")).alias("hub")).where("doc <> hub").distinct()
+    other = other.join(stars, "doc").join(stars.select(F.col("doc").alias("hub"), F.col("star").alias("hub_star")), "hub").where("star <> hub_star")
+    more = cut(_confirm(_pairs(other, "doc", "hub").join(seen.select("a", "b"), ["a", "b"], "left_anti"), sets, p.percent))
+    tried = seen.unionByName(more)
+    edges = tried.where("linked").select("a", "b")
+    labels = components(nodes, edges)
+    # members of different components in one bucket may be linked by members that no pivot met
     placed = members.select("key", "doc").join(labels, "doc")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = cut(placed.join(mixed, "key"))
-    if not rest.isEmpty():
-        other = rest.select("key", F.col("doc").alias("y"), F.col("comp").alias("y_comp"))
-        verdicts(rest.join(other, "key").where("comp < y_comp").select(F.col("doc").alias("x"), "y"))
-    return labels
+    rest = cut(placed.join(mixed, "key").select("doc", "comp").distinct())
+    if rest.isEmpty():
+        return labels
+    found = _confirm(_across(rest, sets, p.percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets, p.percent)
+    found = cut(found.where("linked").select("a", "b"))
+    return labels if found.isEmpty() else components(nodes, edges.unionByName(found))
+
+
+def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
+
+
+def _across(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents (doc, comp) of different components that may be linked: all of them, by prefixes.
+
+    Shingles are ordered by rarity among these documents. If two sets are linked, the longer one has among its first
+    n - ceil(t n) + 1 one of the first n - ceil(2 t / (1 + t) n) + 1 of the shorter. Members of a family that
+    differ in more than that have only shingles of their own there, and make no pair.
+    """
+    held = docs.join(sets.select("doc", "shingles"), "doc").select("doc", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    held = cut(held)
+    common = held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    w = Window.partitionBy("doc")
+    post = held.join(common, "s").withColumns({"rank": F.row_number().over(w.orderBy("df", "s")), "n_common": F.count("*").over(w)})
+    # shingles in one document only come first, and match nothing
+    post = post.withColumn("rank", F.col("rank") + F.col("n") - F.col("n_common"))
+    # ceil in whole numbers: -((-x) div y)
+    probe = F.expr(f"n + ((-{percent} * n) div 100) + 1")
+    index = F.expr(f"n + ((-{2 * percent} * n) div {100 + percent}) + 1")
+    # div cuts towards zero, which for negative numbers is the ceiling's negative at most one too long: a longer prefix is safe
+    post = cut(post.where(F.col("rank") <= probe).select("s", "doc", "comp", "n", (F.col("rank") <= index).alias("indexed")))
+    post = post.join(sets.select("doc", "bits"), "doc")
+    # the shorter sides of a shingle and component come in lists of about LIST entries, which are looked through without making a row a pair
+    short = post.where("indexed").select("s", F.col("doc").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("nx"), "bits")
+    size_of = short.groupBy("s", "x_comp").agg(F.count("*").alias("size"))
+    short = short.join(size_of, ["s", "x_comp"]).withColumn("part", F.expr(f"pmod(xxhash64(x), (size + {LIST - 1}) div {LIST})"))
+    lists = short.groupBy("s", "x_comp", "part").agg(F.collect_list(F.struct("x", "nx", F.col("bits").alias("bx"))).alias("xs"))
+    meets = post.select("s", F.col("doc").alias("y"), "comp", F.col("n").alias("ny"), F.col("bits").alias("by")).join(lists, "s").where("comp <> x_comp")
+
+    def near(x):
+        order = (x["nx"] < F.col("ny")) | ((x["nx"] == F.col("ny")) & (x["x"] < F.col("y")))
+        return order & (100 * x["nx"] >= percent * F.col("ny")) & _may_link(x["bx"], F.col("by"), x["nx"], F.col("ny"), percent)
+
+    pairs = meets.select("y", F.explode(F.filter("xs", near)).alias("m")).select(F.col("m.x").alias("x"), "y")
+    return _pairs(pairs, "x", "y")
