@@ -31,9 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise in the shared folder and cut the lineage; survives lost executors.
+
+    What came before is then unreachable, and collecting the driver's garbage lets Spark delete its shuffle files now.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    spark._jvm.System.gc()
+    return out
 
 
 def tidy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -164,15 +164,20 @@ def full_sets(t: DataFrame, p: MinHashParams) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(doc, comp) with comp the least doc reachable; nodes (doc), edges (a, b). Every round also jumps to labels' labels."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select("doc").distinct().withColumn("comp", F.col("doc")))
+    # as many map tasks as the rows are worth: few files for a small graph
+    few = max(4, -(-both.count() // 100_000))
+    both = both.coalesce(few)
+    # documents without links keep their own label, and take no part
+    linked = cut(both.select(F.col("a").alias("doc")).distinct().withColumn("comp", F.col("doc")).coalesce(few))
+    labels = linked
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("doc", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        near = both.join(labels.withColumnRenamed("doc", "b"), "b").coalesce(few).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "doc"), "doc", "left").select("doc", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
         jump = labels.select(F.col("doc").alias("comp"), F.col("comp").alias("root"))
-        new = cut(step.join(jump, "comp", "left").select("doc", "old", F.least("comp", F.coalesce("root", "comp")).alias("comp")))
+        new = cut(step.coalesce(few).join(jump, "comp", "left").select("doc", "old", F.least("comp", F.coalesce("root", "comp")).alias("comp")).coalesce(few))
         labels = new.select("doc", "comp")
         if new.where("comp <> old").isEmpty():
-            return labels
+            return nodes.select("doc").distinct().join(labels, "doc", "left").select("doc", F.coalesce("comp", "doc").alias("comp"))
     raise RuntimeError("components did not settle")
 
 
