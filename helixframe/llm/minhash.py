@@ -20,6 +20,7 @@ Two different sets at the threshold miss each other with probability (1 - J^rows
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, cut, tidy
+from .common import BLANK, BLANK_BYTES, LOWER_AZ, cut, tidy
 
 BITMAP_WORDS = 16
+BLANK_AT = re.compile(rf"[{BLANK}]".encode())
 #: Mean length of the lists that a document is compared with at once.
 LIST = 64
 
@@ -55,35 +57,47 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """Hash of a word, kept for a bounded number of them."""
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[list(BLANK_BYTES)] = True
+#: Bytes of a text that are hashed at once; a cut falls on a blank.
+BLOCK = 1 << 22
 
-    limit = 300_000
 
-    def __missing__(self, w: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(w)
-        if len(self) >= self.limit:
-            self.clear()
-        self[w] = h
-        return h
-
-
-@functools.lru_cache(1)
-def _words() -> WordHashes:
-    return WordHashes()
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: the mixed sum of a random number for each of its (byte, place in the word)."""
+    b = np.frombuffer(raw, np.uint8)
+    blank = _IS_BLANK[b]
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    b, blank, starts = b[starts[0] :], blank[starts[0] :], starts - starts[0]
+    place = np.arange(len(b), dtype=np.uint64) - np.repeat(starts.astype(np.uint64), np.diff(np.append(starts, len(b))))
+    v = _mix((place << np.uint64(8)) + b + np.uint64(1))
+    v[blank] = 0
+    return _mix(np.add.reduceat(v, starts))
 
 
 def shingles(text: str, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; of fewer words, the whole sequence as one; of none, nothing."""
-    w = text.encode("utf-8", "surrogatepass").translate(LOWER_AZ).split()
-    if not w:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words().__getitem__, w), np.uint64, len(w))
-    n = min(k, len(w))
-    acc = np.full(len(w) - n + 1, n, np.uint64)
+    raw = text.encode("utf-8", "surrogatepass").translate(LOWER_AZ)
+    parts, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + BLOCK)
+        if end < len(raw) and (m := BLANK_AT.search(raw, end)):
+            end = m.start()
+        elif end < len(raw):
+            end = len(raw)
+        parts.append(word_hashes(raw[at:end]))
+        at = end
+    h = parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    if not len(h):
+        return h
+    n = min(k, len(h))
+    acc = np.full(len(h) - n + 1, n, np.uint64)
     for j in range(n):
-        acc = _mix(acc * _ODD[j] + h[j : len(w) - n + 1 + j])
-    return np.unique(acc)
+        acc += h[j : len(h) - n + 1 + j] * _ODD[j]
+    acc = np.sort(_mix(acc))
+    return acc[np.concatenate([[True], acc[1:] != acc[:-1]])]
 
 
 class Circulant:
