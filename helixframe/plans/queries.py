@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases, cigar, scores
 from ..operators import index, kernel, pairs, rank, seeds
-from ..sources import fastx, sam
+from ..sources import fastx, lines, sam
 
 K, S = 13, 13
 
@@ -424,3 +424,47 @@ def sam_summary(spark, d):
 def random_draw_quality(spark, d):
     r = spark.range(0, 12).select(F.col("id").cast("int").alias("n"))
     return r.select("n", scores.random_draw_quality(F.col("n")).cast("int").alias("q"))
+
+
+# --- other lines and the order of records ----------------------------------------------------------------
+
+PLACED = CIG + """, pl AS (SELECT *, 2 * x + 15 + i + m AS qe, 2 * x + 15 + m + dl AS re, CASE WHEN ln % 2 = 1 THEN '+' ELSE '-' END AS strand, x + 15 + m AS n_match, 2 * x + 15 + i + m + dl AS ali FROM cg)"""
+
+
+def placed(spark, d):
+    o, s = F.col("ops"), lambda n: F.col(n).cast("string")
+    return cigars(spark, d).withColumns({
+        "label": F.lit("A"), "mapq": F.col("ln") * 20, "sw_score": cigar.total(o, "M").cast("long"), "qname": F.concat(F.lit("r"), s("read_id")), "rname": F.concat(F.lit("s"), s("ln")), "q_start": F.lit(1).cast("long"), "q_end": cigar.query_span(o).cast("long"),
+        "r_start": F.lit(1).cast("long"), "r_end": cigar.ref_span(o).cast("long"), "strand": F.when(F.col("ln") % 2 == 1, "+").otherwise("-"), "q_length": F.lit(200).cast("long"), "r_length": F.lit(900).cast("long"),
+    })
+
+
+@query(f"""WITH {PLACED} SELECT read_id, ln, printf('alignment:A:%02d %-5d r%d s%d %8d %8d %9d %9d   %s %7d %5.2f 200 900', CAST(least(99, ln * 20) AS BIGINT), n_match, read_id, CAST(ln AS BIGINT), CASE WHEN strand = '+' THEN 1 ELSE qe END, CASE WHEN strand = '+' THEN qe ELSE 1 END,
+    1::BIGINT, re, CASE WHEN strand = '+' THEN 'F' ELSE 'C' END, n_match, ((20000 * n_match + ali) // (2 * ali)) / 100.0::DOUBLE) AS line FROM pl""")
+def ssaha_lines(spark, d):
+    return lines.ssaha_lines(placed(spark, d), ["read_id", "ln"])
+
+
+@query(f"""WITH {PLACED} SELECT read_id, ln, concat('gff: r', read_id, chr(9), 'helixframe', chr(9), 'similarity', chr(9), CASE WHEN strand = '+' THEN 1 ELSE qe END, chr(9), CASE WHEN strand = '+' THEN qe ELSE 1 END, chr(9), n_match, chr(9), strand, chr(9), '.', chr(9), 'Subject "s', ln, '" 1 ', re, ';', chr(9),
+    ' Align ', CASE WHEN strand = '+' THEN 1 ELSE qe END, ' 1 ', 2 * x + 8, '; Align ', CASE WHEN strand = '+' THEN 2 * x + 9 + i ELSE qe - (2 * x + 8 + i) END, ' ', 2 * x + 9, ' ', m, '; Align ', CASE WHEN strand = '+' THEN 2 * x + 9 + i + m ELSE qe - (2 * x + 8 + i + m) END, ' ', 2 * x + 9 + m + dl, ' 7;') AS line FROM pl""")
+def gff2_lines(spark, d):
+    return lines.gff2_lines(placed(spark, d), ["read_id", "ln"])
+
+
+@query(HIST + " SELECT lo, lpad(CAST(lo AS VARCHAR), 8, ' ') || ' ' || lpad(CAST(n AS VARCHAR), 8, ' ') || ' ' || repeat('*', n * 60 // (SELECT max(n) FROM h)) AS line FROM (SELECT bin * 20 + 100 AS lo, n FROM h)")
+def insert_hist_bars(spark, d):
+    h = pairs.histogram(sizes(spark, d), 100, 20, 40)
+    return lines.histogram_bars(h.select((F.col("bin") * 20 + 100).alias("lo"), "n"))
+
+
+@query(f"WITH {ALIGNED} SELECT read_id, mate, r_start, q_start, sw_score, sw_score % 2 = 0 AND count(*) FILTER (WHERE sw_score % 2 = 0) OVER (PARTITION BY read_id, mate) = 1 AS is_primary FROM a")
+def demote_primaries(spark, d):
+    a = aligned(spark, d).select("read_id", "mate", "r_start", "q_start", "sw_score", (F.col("sw_score") % 2 == 0).alias("is_primary"))
+    return lines.demote_primaries(a)
+
+
+@query(f"""WITH {ALIGNED}, r AS (SELECT DISTINCT read_id, mate, sw_score, r_start, r_end, CASE WHEN sw_score % 3 = 0 THEN seq_idx END AS pair_no FROM a), g AS (SELECT *, CASE WHEN pair_no IS NULL THEN mate ELSE 0 END AS out_group FROM r)
+    SELECT *, CAST(row_number() OVER (PARTITION BY read_id ORDER BY out_group, pair_no NULLS FIRST, mate, sw_score DESC, r_start, r_end) AS INTEGER) AS ord FROM g""")
+def report_order(spark, d):
+    a = aligned(spark, d).select("read_id", "mate", "sw_score", "r_start", "r_end", F.when(F.col("sw_score") % 3 == 0, F.col("seq_idx")).alias("pair_no"))
+    return lines.report_order(a)
