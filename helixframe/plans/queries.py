@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases, cigar, scores
-from ..operators import index, kernel, pairs, rank, seeds
+from ..operators import index, mapping, pairs, rank, seeds
 from ..sources import fastx, lines, sam
 
 K, S = 13, 13
@@ -222,16 +222,8 @@ def ungapped_best_hit(spark, d):
 @query()
 def map_reads(spark, d):
     """Best gapped placement of each read: candidates by coverage, then the kernel on their windows."""
-    r = refs(spark, d)
-    s = seeds.segments(seeds.exact_seeds(hits(spark, d), K, S), S)
-    w = F.row_number().over(seeds.Window.partitionBy("read_id", "mate").orderBy(F.col("cover").desc(), "strand", "seq_idx", "shift"))
-    c = s.withColumn("rank", w).where("rank <= 16").join(reads(spark, d).select("read_id", "mate", "seq", "qname"), ["read_id", "mate"]).join(r.select("seq_idx", "name", "bases"), "seq_idx")
-    n = F.length("seq")
-    left = F.greatest(F.lit(0), F.when(F.col("strand") == "+", F.col("shift")).otherwise(F.col("shift") - (n - K)) - 16)
-    c = c.select("read_id", "mate", "strand", "seq_idx", "name", "qname", left.alias("left"), F.when(F.col("strand") == "+", F.col("seq")).otherwise(bases.reverse_complement(F.col("seq"))).alias("q"), F.substring("bases", left.cast("int") + 1, n + 32).alias("window"))
-    a = kernel.align_candidates(c.distinct()).where("sw_score > 0")
-    best = F.row_number().over(seeds.Window.partitionBy("read_id", "mate").orderBy(F.col("sw_score").desc(), "strand", "seq_idx", "left"))
-    return a.withColumn("rn", best).where("rn = 1").select("read_id", "strand", "seq_idx", (F.col("left") + F.col("r_start")).alias("pos"), "sw_score", "cigar")
+    a = mapping.map_reads(reads(spark, d), refs(spark, d), kindex(spark, d), K, S)
+    return a.select("read_id", "strand", "seq_idx", "pos", "sw_score", "cigar")
 
 
 # --- alignments ------------------------------------------------------------------------------------------
