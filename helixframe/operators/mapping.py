@@ -1,4 +1,4 @@
-"""Mapping of reads to references: index lookup, seeds, segments, then the alignment kernel on the best candidates' windows."""
+"""Mapping of reads to references: index lookup, seeds, segments, then the alignment kernel on the windows of all segments."""
 
 from __future__ import annotations
 
@@ -9,22 +9,23 @@ from ..functions import bases
 from . import index, kernel, seeds
 
 
-def map_reads(reads: DataFrame, refs: DataFrame, ix: DataFrame, k: int = 13, stride: int = 13, max_hits: int = 10_000, candidates: int = 16, pad: int = 16) -> DataFrame:
+def map_reads(reads: DataFrame, refs: DataFrame, ix: DataFrame, k: int = 13, stride: int = 13, max_hits: int = 10_000, pad: int = 16) -> DataFrame:
     """(read_id, mate, strand, seq_idx, pos, sw_score, cigar): the best gapped placement of each read that has one.
 
-    reads (read_id, mate, qname, seq, qual), refs (seq_idx, name, bases), ix as of :func:`index.kmers`. ``max_hits`` and ``candidates``
-    are the mapper's stated limits of work: words more frequent than the first make no seeds, and the kernel sees that many
-    segments of each mate, by coverage. Ties go to the plus strand, the first reference and the leftmost window.
+    reads (read_id, mate, qname, seq, qual), refs (seq_idx, name, bases), ix as of :func:`index.kmers`. ``max_hits`` is the mapper's stated
+    limit of work: words more frequent make no seeds. Every segment counts: those of a mate with equal windows are folded into the
+    first of them, all windows are scored, and the best one is aligned. Ties go to the plus strand, the first reference and the leftmost window.
     """
     h = seeds.hits(seeds.hit_counts(seeds.query_words(reads, k, 0), index.word_counts(ix), max_hits), ix, k)
-    s = seeds.segments(seeds.exact_seeds(h, k, stride), stride)
-    by_mate = Window.partitionBy("read_id", "mate")
-    c = s.withColumn("rank", F.row_number().over(by_mate.orderBy(F.col("cover").desc(), "strand", "seq_idx", "shift"))).where(F.col("rank") <= candidates)
-    c = c.join(reads.select("read_id", "mate", "seq", "qname"), ["read_id", "mate"]).join(refs.select("seq_idx", "name", "bases"), "seq_idx")
-    plus, n = F.col("strand") == "+", F.length("seq")
-    left = F.greatest(F.lit(0), F.when(plus, F.col("shift")).otherwise(F.col("shift") - (n - k)) - pad)
-    query = F.when(plus, F.col("seq")).otherwise(bases.reverse_complement(F.col("seq")))
-    c = c.select("read_id", "mate", "strand", "seq_idx", "name", "qname", left.alias("left"), query.alias("q"), F.substring("bases", left.cast("int") + 1, n + 2 * pad).alias("window"))
-    a = kernel.align_candidates(c.distinct()).where("sw_score > 0")
-    best = F.row_number().over(by_mate.orderBy(F.col("sw_score").desc(), "strand", "seq_idx", "left"))
-    return a.withColumn("rn", best).where("rn = 1").select("read_id", "mate", "strand", "seq_idx", (F.col("left") + F.col("r_start")).alias("pos"), "sw_score", "cigar")
+    c = seeds.segments(seeds.exact_seeds(h, k, stride), stride).select("read_id", "mate", "strand", "seq_idx", "shift").distinct()
+    mates = reads.select("read_id", "mate", "seq")
+    c = c.join(mates.select("read_id", "mate", F.length("seq").alias("n")), ["read_id", "mate"]).join(refs.select("seq_idx", "bases"), "seq_idx")
+    n = F.col("n")
+    left = F.greatest(F.lit(0), F.when(F.col("strand") == "+", F.col("shift")).otherwise(F.col("shift") - (n - k)) - pad)
+    c = c.select("read_id", "mate", "strand", "seq_idx", left.alias("left"), F.substring("bases", left.cast("int") + 1, n + 2 * pad).alias("window"))
+    c = c.groupBy("read_id", "mate", "strand", "window").agg(F.min(F.struct("seq_idx", "left")).alias("at"))
+    query = F.when(F.col("strand") == "+", F.col("seq")).otherwise(bases.reverse_complement(F.col("seq")))
+    c = kernel.score_candidates(c.join(mates, ["read_id", "mate"]).select("read_id", "mate", "strand", "at", query.alias("q"), "window"))
+    first = F.min(F.struct((-F.col("score")).alias("low"), "strand", "at.seq_idx", "at.left", "q", "window")).alias("b")
+    a = kernel.align_candidates(c.where("score > 0").groupBy("read_id", "mate").agg(first).select("read_id", "mate", "b.strand", "b.seq_idx", "b.left", "b.q", "b.window")).where("sw_score > 0")
+    return a.select("read_id", "mate", "strand", "seq_idx", (F.col("left") + F.col("r_start")).alias("pos"), "sw_score", "cigar")
