@@ -87,22 +87,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), tilts: tuple[floa
 
     ``tilts`` go with ``weights``: early sources have a negative one. |tilt| < 1.
     """
+    mixed = _mixed(docs, planned(docs, weights, max_epochs, seed, id_col, text_col, source_col), weights, tilts, seed, id_col, text_col, source_col)
+    return mixed.select("row.*", "mix_position")
+
+
+def planned(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of :func:`assign` for all documents, those equal in id and text numbered by ``nth``."""
+    plan = assign(cut(sized(docs, seed, id_col, text_col, source_col)), weights, max_epochs)
+    return plan.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "h").orderBy("source", "before")))
+
+
+def _mixed(docs: DataFrame, plan: DataFrame, weights: tuple[int, ...], tilts: tuple[float, ...], seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(row, mix_position, p_id, p_h, nth): a row for each copy, range-sorted by position."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     base = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").cast("string").alias("source"))
-    plan = assign(cut(sized(docs, seed, id_col, text_col, source_col)), weights, max_epochs).where("copies > 0")
     tilt = F.element_at(F.map_from_arrays(F.array(*map(F.lit, weights)), F.array(*map(F.lit, tilts))), F.col("weight"))
     u = F.col("before") + F.col("epoch") * F.col("source_size")
     # rows equal in id, text and source are numbered alike on both sides
-    key = W.partitionBy("doc_id", "h").orderBy("source", "before")
-    plan = plan.withColumn("nth", F.row_number().over(key)).select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), "nth", "source_size", "target", "weight", "before", "copies")
+    plan = plan.where("copies > 0").select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), "nth", "source_size", "target", "weight", "before", "copies")
     base = base.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("b_nth", F.row_number().over(W.partitionBy("doc_id", "h").orderBy("source")))
     j = base.join(plan, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("h") == F.col("p_h")) & (F.col("b_nth") == F.col("nth")))
     j = j.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
-    j = j.withColumn("mix_position", position(u, F.greatest("target", F.lit(1.0)), tilt))
-    return j.select("row.*", "mix_position").repartitionByRange("mix_position", id_col).sortWithinPartitions("mix_position", id_col)
+    j = j.withColumn("mix_position", position(u, F.greatest("target", F.lit(1.0)), tilt)).withColumn("id", F.col(f"row.`{id_col}`"))
+    return j.select("row", "mix_position", "p_id", "p_h", "nth", "id").repartitionByRange("mix_position", "id").sortWithinPartitions("mix_position", "id")
+
 
+def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), tilts: tuple[float, ...] = (-0.5, 0.0, 0.5), max_epochs: int = 3, seed: int = 7) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, positions) for every document: what :func:`mix` makes of it.
 
-def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 7) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every document."""
-    a = assign(cut(sized(docs, seed, "doc_id", "text", "source")), weights, max_epochs)
-    return a.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    ``positions`` are those of its copies in the mix, ascending; a document that is not taken has none.
+    """
+    plan = planned(docs, weights, max_epochs, seed)
+    mixed = _mixed(docs, plan, weights, tilts, seed, "doc_id", "text", "source")
+    placed = mixed.groupBy("p_id", "p_h", "nth").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("mix_position")).alias("positions"))
+    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("h") == F.col("p_h")) & (F.col("plan.nth") == F.col("placed.nth"))
+    out = plan.alias("plan").join(placed.alias("placed"), same, "left")
+    none = F.array().cast("array<double>")
+    return out.select("doc_id", "size", "source_size", "target", (F.coalesce("n", F.lit(0)) * F.col("size")).alias("taken"), F.coalesce("positions", none).alias("positions"))

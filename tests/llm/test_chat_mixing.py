@@ -88,3 +88,13 @@ def test_position_inverts_the_integral(spark):
         u = 40 * (F.col("t") + tilt * (F.col("t") * F.col("t") - F.col("t")))
         for r in df.select("t", mixing.position(u, F.lit(40.0), F.lit(tilt)).alias("p")).collect():
             assert abs(r.t - r.p) < 1e-6
+
+
+def test_taken_has_the_positions_of_the_mix(spark):
+    texts = [(i, "w " * (1 + i * 7 % 40), ["a", "b", "c", None][i % 4]) for i in range(400)] + [(5, "dup x", "b")] * 3 + [(9000, None, "a"), (None, "one two", "c"), (6, "w w", "d"), (6, "w w", "a")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    rows = mixing.taken(docs).collect()
+    assert len(rows) == len(texts)
+    assert all(len(r.positions) * r.size == r.taken and list(r.positions) == sorted(r.positions) for r in rows)
+    mixed = sorted((r.doc_id is None, r.doc_id, r.mix_position) for r in mixing.mix(docs).collect())
+    assert sorted((r.doc_id is None, r.doc_id, p) for r in rows for p in r.positions) == mixed and mixed
