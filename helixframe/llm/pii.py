@@ -2,21 +2,23 @@
 
 Found are e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, US social security numbers, secrets assigned to
 a name (token = "…") and names after a title. A surrogate is the image of the entity under a keyed permutation of the strings of
-its form: digits go to digits, letters to letters of their case and script, punctuation and layout stay, octets stay octets, a card
+its form: digits go to digits, letters to letters of their case and script (however few), punctuation and layout stay, octets stay octets, a card
 keeps whether its check digit is right, and a given name is exchanged within its gender. Since it is a permutation, different entities
 never collide and an entity has one surrogate in all documents (upper and lower case, and other layouts of the same digits, included);
 :func:`collisions` checks both on the entities found. Row-wise: one scan, no exchange.
 
-Defined results: null text counts as empty; null ids and repeated rows are passed through; overlapping finds go to the kind named first; forms
-with fewer than three characters to permute stay as they are; an empty table gives an empty result; other columns are ignored.
+Defined results: null text counts as empty; null ids and repeated rows are passed through; overlapping finds go to the kind named first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,11 +40,41 @@ _PATTERN = re.compile(
 _MALE = "Adam Albert Alan Boris Carl Daniel David Edward Emil Felix Frank George Hans Henry Hugo Jack James Jean John Karl Leo Louis Luis Marco Mark Martin Michael Miguel Oliver Oscar Otto Paul Pedro Peter Pierre Ralph Robert Simon Thomas Victor William".split()
 _FEMALE = "Alice Amelia Anna Bella Carla Carmen Clara Diana Elena Emily Emma Eva Flora Grace Greta Hanna Helen Irene Ivy Jane Julia Karen Laura Lena Lucia Maria Marie Martha Mary Nina Nora Olga Paula Rosa Ruth Sara Sofia Sophie Susan Vera".split()
 _FEMALE_TITLES = {"Mrs.", "Ms.", "Miss", "Frau", "Madame", "Señora", "Госпожа"}
-#: Alphabets within which a letter is exchanged; other characters stay.
+#: Alphabets within which a letter is exchanged; those of other letters go by script, see :func:`alphabet`.
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 _OF = {c: a for a in _ALPHABETS for c in a}
 
 
+@cache
+def _scripts() -> dict[str, str]:
+    """Alphabet of every letter and digit that _ALPHABETS has not: the lower-case or caseless ones of its script, category and case.
+
+    A script is the first word of a character's name. Letters alone of their kind go to one alphabet of their own, so that none stays as it is.
+    """
+    kinds: dict[tuple, list[str]] = {}
+    for i in range(sys.maxunicode + 1):
+        c = chr(i)
+        if c in _OF or not (c.isalpha() or c.isdecimal() or c.isnumeric()):
+            continue
+        if len(c.lower()) == 1 and c.lower() != c and c.lower().upper() == c:
+            continue  # is written as its lower case
+        cased = len(c.upper()) == 1 and c.upper().lower() == c and c.upper() != c
+        kinds.setdefault((unicodedata.name(c, "x").split()[0].split("-")[0], unicodedata.category(c), cased), []).append(c)
+    few = "".join(c for k in kinds.values() if len(k) == 1 for c in k)
+    return {c: a for k in [*kinds.values(), list(few)] if len(k) > 1 for a in ["".join(k)] for c in a}
+
+
+def alphabet(c: str) -> str | None:
+    """The alphabet of a lower-case or caseless character; None if it is neither a letter nor a digit."""
+    return _OF.get(c) or (None if c.isascii() else _scripts().get(c))
+
+
+def lower(c: str) -> str:
+    """Lower case where upper case brings the character back."""
+    x = c.lower()
+    return x if len(x) == 1 and x.upper() == c else c
+
+
 @dataclass(frozen=True)
 class Found:
     kind: str
@@ -75,11 +107,12 @@ def permute(n: int, modulus: int, key: bytes, tweak: bytes) -> int:
 
 
 def _exchange(text: str, alphabets: list[str], key: bytes, tweak: str) -> str:
-    """Text over the given alphabets, one for each character, permuted among all such texts."""
+    """Text over the given alphabets, one for each character, permuted among all such texts; where these are few enough to matter, none goes to itself."""
     n, m = 0, 1
     for c, a in zip(text, alphabets, strict=True):
         n, m = n * len(a) + a.index(c), m * len(a)
-    n = permute(n, m, key, f"{tweak}|{'|'.join(alphabets)}".encode())
+    t = f"{tweak}|{'|'.join(a if len(a) < 64 else a[:8] + str(len(a)) for a in alphabets)}".encode()
+    n = _moved(n, m, key, t) if m < 1 << 32 else permute(n, m, key, t)
     out = []
     for a in reversed(alphabets):
         n, k = divmod(n, len(a))
@@ -87,15 +120,36 @@ def _exchange(text: str, alphabets: list[str], key: bytes, tweak: str) -> str:
     return "".join(reversed(out))
 
 
+def _moved(n: int, modulus: int, key: bytes, tweak: bytes) -> int:
+    """A permutation without fixed points: a step of 1 to modulus - 1 round the ring, seen through a keyed permutation."""
+    step = 1 + int.from_bytes(hashlib.blake2b(b"step" + tweak, key=key, digest_size=16).digest(), "big") % (modulus - 1)
+    at = permute(n, modulus, key, tweak)
+    return _back((at + step) % modulus, modulus, key, tweak)
+
+
+def _back(n: int, modulus: int, key: bytes, tweak: bytes) -> int:
+    """Inverse of :func:`permute`."""
+    half = max(1, -(-(modulus - 1).bit_length() // 2))
+    mask = (1 << half) - 1
+    while True:
+        left, right = n >> half, n & mask
+        for i in reversed(range(8)):
+            left, right = right ^ _round(key, tweak, i, left, half), left
+        n = left << half | right
+        if n < modulus:
+            return n
+
+
 def form_preserving(value: str, key: bytes, tweak: str, digits_only: bool = False) -> str:
-    """Characters of known alphabets exchanged, case and all others as they were."""
-    low = [c.lower() if len(c.lower()) == 1 else c for c in value]
-    at = [i for i, c in enumerate(low) if c in _OF and (not digits_only or c in _ALPHABETS[0])]
-    if len(at) < 3:
+    """Letters and digits exchanged within their alphabets, case and all others as they were."""
+    low = [lower(c) for c in value]
+    of = [alphabet(c) for c in low]
+    at = [i for i, a in enumerate(of) if a and (not digits_only or a == _ALPHABETS[0])]
+    if not at:
         return value
     # what stays is part of the form, unless only digits count: then layouts of one number agree
-    form = "" if digits_only else "".join("x" if c in _OF else c for c in low)
-    new = _exchange("".join(low[i] for i in at), [_OF[low[i]] for i in at], key, f"{tweak}|{form}")
+    form = "" if digits_only else "".join("x" if a else c for a, c in zip(of, low, strict=True))
+    new = _exchange("".join(low[i] for i in at), [of[i] for i in at], key, f"{tweak}|{form}")
     out = list(value)
     for i, c in zip(at, new, strict=True):
         out[i] = c.upper() if value[i] != low[i] else c
@@ -122,7 +176,7 @@ def _name(value: str, title: str, key: bytes) -> str:
         first = parts[0]
         known = {x.lower(): i for i, x in enumerate(names)}.get(first.lower())
         if known is not None:
-            new = names[permute(known, len(names), key, f"given|{gender}".encode())]
+            new = names[_moved(known, len(names), key, f"given|{gender}".encode())]
             new = new.upper() if first.isupper() else new
         else:
             new = form_preserving(first, key, f"given|{gender}")

@@ -48,3 +48,26 @@ def test_distinct_over_a_corpus(spark):
     for o in out:
         assert not o.entities or all(o.text.count(e.surrogate) for e in o.entities)
     assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def test_short_and_foreign_names_are_replaced():
+    for text in ["Mr. Wu", "Frau Li", "Mr. Bo Li", "Herr Łoś", "Frau Şuś", "Mr. Weißœč", "Mr. משה", "Mrs. محمد علي", "Mr. 王伟", "Mr. 김민수", "Mail 王@b.com", "Mail משה@ab.org", "Mail a@b.co"]:
+        new, found = pii.replace(text, KEY)
+        assert len(found) == 1, text
+        f = found[0]
+        assert f.surrogate != f.value and f.value not in new and len(f.surrogate) == len(f.value)
+        for a, b in zip(f.value.split(), f.surrogate.split(), strict=True):
+            assert a != b and [c.isupper() for c in a] == [c.isupper() for c in b]
+
+
+def test_every_letter_has_an_alphabet_and_short_forms_are_permuted():
+    for c in "łśčşœßžğőאשعم王김ひカकกა":
+        a = pii.alphabet(c)
+        assert c in a and len(a) > 1
+    one = [pii.form_preserving(c, KEY, "family") for c in pii._ALPHABETS[1]]
+    assert sorted(one) == list(pii._ALPHABETS[1]) and all(a != b for a, b in zip(one, pii._ALPHABETS[1], strict=True))
+    two = {a + b: pii.form_preserving(a + b, KEY, "family") for a in pii._ALPHABETS[1] for b in pii._ALPHABETS[1]}
+    assert len(set(two.values())) == len(two) and all(a != b for a, b in two.items())
+    for title, names in (("Mr.", pii._MALE), ("Mrs.", pii._FEMALE)):
+        given = [pii.surrogate("name", f"{n} Braun", KEY, title).split()[0] for n in names]
+        assert sorted(given) == sorted(names) and all(a != b for a, b in zip(given, names, strict=True))
