@@ -61,6 +61,26 @@ def histogram(sizes: DataFrame, lo: int, width: int, bins: int) -> DataFrame:
     return b.groupBy("bin").agg(F.count("*").alias("n")).select("bin", (F.col("bin") * width + lo).alias("lo"), "n")
 
 
+def derived_histogram(sizes: DataFrame) -> DataFrame:
+    """(bin, lo, n, n_below, n_above): bins over six quartile ranges round the median, 3 sqrt(n) of them within 16 and 1028.
+
+    A bin is at least 1 wide. Sizes out of this range are in no bin but counted, on every row, in n_below and n_above.
+    """
+    p = quartiles(sizes)
+    p = p.withColumns({"range": 6 * (F.col("q3") - F.col("q1")), "bins": F.least(F.lit(1028), F.greatest(F.lit(16), F.floor(3 * F.sqrt("n")).cast("long")))})
+    p = p.withColumn("width", F.greatest(F.lit(1), F.expr("range div bins")))
+    p = p.withColumn("bins", F.greatest(F.lit(1), F.when(F.expr("range div bins") < 1, F.col("range")).otherwise(F.col("bins"))))
+    p = p.select("width", "bins", (F.col("q2") - F.expr("(width * bins) div 2")).alias("first"))
+    b = sizes.groupBy("isize").agg(F.count("*").alias("c")).join(F.broadcast(p), how="cross")
+    b = b.withColumn("bin", F.floor((F.col("isize") - F.col("first")) / F.col("width")).cast("int"))
+    b = b.withColumn("bin", F.when(F.col("bin") < 0, -1).when(F.col("bin") >= F.col("bins"), F.col("bins").cast("int")).otherwise(F.col("bin")))
+    b = b.groupBy("bin", "first", "width", "bins").agg(F.sum("c").alias("n"))
+    every = Window.partitionBy()
+    out = lambda x: F.sum(F.when(x, F.col("n")).otherwise(0)).over(every)
+    b = b.withColumns({"n_below": out(F.col("bin") < 0), "n_above": out(F.col("bin") >= F.col("bins"))})
+    return b.where("bin >= 0 AND bin < bins").select("bin", (F.col("first") + F.col("bin") * F.col("width")).alias("lo"), "n", "n_below", "n_above")
+
+
 def smooth(hist: DataFrame, bandwidth: float, reach: float = 3.0) -> DataFrame:
     """Gaussian sums over bins within ``reach`` bandwidths: each bin is spread over its neighbours, then added up."""
     r = int(bandwidth * reach)

@@ -357,6 +357,24 @@ def insert_hist_smooth(spark, d):
     return pairs.smooth(pairs.histogram(sizes(spark, d), 100, 20, 40), 3.0)
 
 
+DERIVED = f"""WITH {SIZES}, r AS (SELECT isize, row_number() OVER (ORDER BY isize) - 1 AS i, count(*) OVER () AS n FROM sz),
+    q AS (SELECT any_value(n) AS n, max(isize) FILTER (WHERE i = n // 4) AS q1, max(isize) FILTER (WHERE i = n * 2 // 4) AS q2, max(isize) FILTER (WHERE i = n * 3 // 4) AS q3 FROM r),
+    k AS (SELECT q2, 6 * (q3 - q1) AS span, least(1028, greatest(16, CAST(floor(3 * sqrt(n)) AS BIGINT))) AS k FROM q),
+    p AS (SELECT q2, greatest(1, span // k) AS width, greatest(1, CASE WHEN span // k < 1 THEN span ELSE k END) AS bins FROM k),
+    b AS (SELECT isize - (q2 - width * bins // 2) AS off, width, bins, q2 - width * bins // 2 AS first FROM sz, p),
+    h AS (SELECT CAST(off // width AS INTEGER) AS bin, first + (off // width) * width AS lo, count(*) AS n FROM b WHERE off >= 0 AND off < width * bins GROUP BY ALL)"""
+
+
+@query(DERIVED + " SELECT bin, lo, n, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS upto, (SELECT count(*) FROM b WHERE off < 0) AS n_below, (SELECT count(*) FROM b WHERE off >= width * bins) AS n_above FROM h")
+def insert_hist_derived(spark, d):
+    return pairs.cumulative(pairs.derived_histogram(sizes(spark, d)))
+
+
+@query(DERIVED + ", s AS (SELECT a.bin, any_value(a.n) AS n, CAST(floor(round(sum(b.n * exp(-pow((b.bin - a.bin) / 3.0, 2) / 2)), 6) / 3.0) AS BIGINT) AS n_smooth FROM h a JOIN h b ON abs(a.bin - b.bin) <= 9 GROUP BY a.bin) SELECT * FROM s")
+def insert_hist_derived_smooth(spark, d):
+    return pairs.smooth(pairs.derived_histogram(sizes(spark, d)), 3.0)
+
+
 @query("SELECT o_orderkey AS read_id FROM orders WHERE o_orderkey % 7 = 0")
 def sample_every_nth(spark, d):
     return pairs.every_nth(t(spark, d, "orders").select(F.col("o_orderkey").alias("read_id")), 7)
@@ -458,6 +476,11 @@ def insert_hist_bars(spark, d):
     return lines.histogram_bars(h.select((F.col("bin") * 20 + 100).alias("lo"), "n"))
 
 
+@query(DERIVED + " SELECT lo, lpad(CAST(lo AS VARCHAR), 8, ' ') || ' ' || lpad(CAST(n AS VARCHAR), 8, ' ') || ' ' || repeat('*', n * 60 // (SELECT max(n) FROM h)) AS line FROM h")
+def insert_hist_derived_bars(spark, d):
+    return lines.histogram_bars(pairs.derived_histogram(sizes(spark, d)).select("lo", "n"))
+
+
 @query(f"WITH {ALIGNED} SELECT read_id, mate, r_start, q_start, sw_score, sw_score % 2 = 0 AND count(*) FILTER (WHERE sw_score % 2 = 0) OVER (PARTITION BY read_id, mate) = 1 AS is_primary FROM a")
 def demote_primaries(spark, d):
     a = aligned(spark, d).select("read_id", "mate", "r_start", "q_start", "sw_score", (F.col("sw_score") % 2 == 0).alias("is_primary"))
