@@ -1,7 +1,7 @@
 """A corpus from raw documents to packed sequences: rules, exact and near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``. Exact and near dedup tell rows apart where ids are null or repeated: one row of a group stays.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, minhash, mixing, packing, quality_rules
-from helixframe.llm.common import shared_dir
+from helixframe.llm.common import cut, shared_dir
 from helixframe.llm.tokens import vocabulary_path
 from helixframe.shipping import ship
 
+KEY = "row_key"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail are removed; documents that fail, or lose too much, go."""
@@ -26,15 +27,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     ship(spark)
-    gone = exact_dedup.dedup(docs).where("NOT kept").select("doc_id")
-    return without(docs, gone)
+    rows = keyed(docs)
+    gone = exact_dedup.dedup(rows, id_col=KEY).where("NOT kept").select(F.col("doc_id").alias(KEY))
+    return without(rows, gone).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     ship(spark)
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
-    return without(docs, gone)
+    rows = keyed(docs)
+    gone = minhash.near_duplicates(rows, id_col=KEY).where("NOT kept").select(F.col("doc_id").alias(KEY))
+    return without(rows, gone).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +52,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary_path("word_bpe_49k.json"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with a key of the row: the id where ids are whole and unique, else the row's place in order of id, null ids last."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if odd.isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id"))
+    order = docs.sort(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return cut(order.withColumn(KEY, F.monotonically_increasing_id()))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose id isn't in ``gone``; the ids are the hashed side, so texts are dealt once and never sorted."""
-    return docs.join(gone.distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose key isn't in ``gone``; the keys are the hashed side, so texts are dealt once and never sorted."""
+    return docs.join(gone.distinct().hint("shuffle_hash"), KEY, "left_anti")
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", pack)]

@@ -41,3 +41,13 @@ def test_stages_against_brute_force(spark, tmp_path):
     words = sum(len(t.split()) for t in kept[2].text)
     assert sum(len(t.split()) for t in kept[3].text) == pytest.approx(words, rel=0.05)
     assert Counter(kept[4][kept[4].start == 0].doc_id) == copies
+
+
+def test_one_row_of_a_group_stays_whatever_its_id(spark):
+    rows = [(1, "alpha beta"), (None, "alpha beta"), (2, "gamma delta"), (2, "gamma delta"), (3, "alpha beta"), (3, "clean text"), (None, "lone text"), (None, "twice so"), (None, "twice so")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, "alpha beta"), (2, "gamma delta"), (3, "clean text"), (None, "lone text"), (None, "twice so")]
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert Counter(map(tuple, out.collect())) == Counter(want)
