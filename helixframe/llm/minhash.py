@@ -9,8 +9,8 @@ Nothing grows with the square of a group:
 * equal sets are folded to one representative first;
 * in each bucket, documents are compared with a pivot, the member that shares most buckets with others, then with the bucket's least
   member; what is in one component by then needs no further comparison;
-* only buckets that still hold several components compare members of different ones, which an exact prefix filter pairs; no set is moved
-  for a pair that sizes or parity bitmaps (a lower bound of the symmetric difference) rule out.
+* only buckets that still hold several components compare members of different ones, in blocks within a task: parity bitmaps (a lower bound
+  of the symmetric difference) leave the suspects, whose full sets then meet. Rows are members of buckets, never pairs.
 
 Defined results: null text counts as empty; an empty set has n_shingles 0 and is linked with nothing, as is a row with a null
 id; repeated rows come out as often as they come in, with one result; an empty table gives an empty result; other columns are ignored.
@@ -25,17 +25,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANK, BLANK_BYTES, LOWER_AZ, cut, tidy
 
 BITMAP_WORDS = 16
 BLANK_AT = re.compile(rf"[{BLANK}]".encode())
-#: Mean length of the lists that a document is compared with at once.
-LIST = 64
+#: Rows and shingles of a block of a bucket's members that meet at once, and mean bytes of a group of buckets.
+BLOCK_ROWS = 8_192
+BLOCK_SHINGLES = 2_000_000
+GROUP_BYTES = 8_000_000
+#: Bits of the finest parity bitmap.
+WIDE_BITS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -139,6 +144,12 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_bitmap(s: np.ndarray) -> bytes:
+    """The same on a power of two of bits, four a shingle at least where WIDE_BITS allows; its halves' XOR is the bitmap of half as many."""
+    bits = min(WIDE_BITS, max(512, 1 << (4 * len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
@@ -163,16 +174,16 @@ def sketch(t: DataFrame, p: MinHashParams) -> DataFrame:
 
 
 def full_sets(t: DataFrame, p: MinHashParams) -> DataFrame:
-    """(doc, shingles, bits) of tidy documents."""
+    """(doc, shingles, bits, wide) of tidy documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 sets = [shingles(t.as_py(), p.k) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets), _lists([bitmap(s) for s in sets])], names=["doc", "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets), _lists([bitmap(s) for s in sets]), pa.array([wide_bitmap(s) for s in sets], pa.binary())], names=["doc", "shingles", "bits", "wide"])
 
-    return t.mapInArrow(run, "doc long, shingles array<long>, bits array<long>")
+    return t.mapInArrow(run, "doc long, shingles array<long>, bits array<long>, wide binary")
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -261,11 +272,10 @@ def _link(t: DataFrame, members: DataFrame, nodes: DataFrame, p: MinHashParams)
     # members of different components in one bucket may be linked by members that no pivot met
     placed = members.select("key", "doc").join(labels, "doc")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = cut(placed.join(mixed, "key").select("doc", "comp").distinct())
+    rest = cut(placed.join(mixed, "key"))
     if rest.isEmpty():
         return labels
-    found = _confirm(_across(rest, sets, p.percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets, p.percent)
-    found = cut(found.where("linked").select("a", "b"))
+    found = cut(_left_links(rest, sets, p.percent))
     return labels if found.isEmpty() else components(nodes, edges.unionByName(found))
 
 
@@ -273,36 +283,150 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
 
 
-def _across(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents (doc, comp) of different components that may be linked: all of them, by prefixes.
+def _in_blocks(rest: DataFrame, size: str, limit: int) -> DataFrame:
+    """Rows (key, doc, comp, …) dealt to (key, kind, i, j) so that members of different components of a key meet in one of its groups.
 
-    Shingles are ordered by rarity among these documents. If two sets are linked, the longer one has among its first
-    n - ceil(t n) + 1 one of the first n - ceil(2 t / (1 + t) n) + 1 of the shorter. Members of a family that
-    differ in more than that have only shingles of their own there, and make no pair.
+    ``size`` is a row's own, and no group is much over twice ``limit`` of it. The most common component of a key is its main one, whose members needn't
+    meet; with one block of each side, as almost always, every row is sent once.
+    """
+    per = rest.groupBy("key", "comp").agg(F.sum(size).alias("size"))
+    per = per.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("m"), F.sum("size").alias("all"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / limit)).cast("int")
+    per = per.select("key", F.col("m.comp").alias("main"), blocks(F.col("m.size")).alias("n_main"), blocks(F.col("all") - F.col("m.size")).alias("n_other"))
+    r = rest.join(per, "key").withColumn("h", F.xxhash64("doc"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own, other = F.pmod("h", "n_main"), F.pmod("h", "n_other")
+    with_main = F.when(F.col("comp") == F.col("main"), F.transform(upto("n_other"), lambda j: at(0, own, j))).otherwise(F.transform(upto("n_main"), lambda i: at(0, i, other)))
+    among = F.transform(F.filter(upto("n_other"), lambda j: j != other), lambda j: at(1, F.least(other, j), F.greatest(other, j)))
+    groups = F.when((F.col("comp") == F.col("main")) | (F.col("n_other") == 1), with_main).otherwise(F.concat(with_main, among))
+    return r.withColumn("g", F.explode(groups)).select(*rest.columns, "g.kind", "g.i", "g.j")
+
+
+def _runs(keys: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Starts and ends of runs of equal rows."""
+    if not len(keys[0]):
+        return
+    new = np.zeros(len(keys[0]) - 1, bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    at = np.concatenate([[0], np.flatnonzero(new) + 1, [len(keys[0])]])
+    yield from zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+
+
+class Parities:
+    """Parity bitmaps of sets in order of size, and which of them may be linked with one."""
+
+    def __init__(self, n: np.ndarray, wide: list[bytes], percent: int):
+        self.n, self.percent, self.cls = n, percent, np.array([len(w) for w in wide])
+        self.own: dict[int, tuple[int, np.ndarray]] = {}
+        # bitmaps grow with the set, so a class is a range
+        for c in np.unique(self.cls).tolist():
+            lo, hi = np.searchsorted(self.cls, [c, c + 1])
+            self.own[c] = int(lo), np.frombuffer(b"".join(wide[lo:hi]), np.uint64).reshape(hi - lo, c // 8)
+        self.half = {c: m[:, : c // 16] ^ m[:, c // 16 :] for c, (_, m) in self.own.items() if c > 8 and c // 2 in self.own}
+
+    def near(self, i: int) -> np.ndarray:
+        """Places that sizes and bitmaps don't rule out as linked with i, itself included."""
+        q, ni, c = self.percent, int(self.n[i]), int(self.cls[i])
+        lo, hi = int(np.searchsorted(self.n, -(-q * ni // 100))), int(np.searchsorted(self.n, 100 * ni // q, "right"))
+        base, own = self.own[c]
+        mine, found = own[i - base], []
+        for d in (c // 2, c, 2 * c):
+            if d not in self.own:
+                continue
+            first, m = self.own[d]
+            if d == 2 * c:
+                m = self.half[d]
+            a, z = max(lo, first), min(hi, first + len(m))
+            if a >= z:
+                continue
+            x = mine if d >= c else mine[: c // 16] ^ mine[c // 16 :]
+            apart = np.bitwise_count(m[a - first : z - first] ^ x).sum(1, dtype=np.int64)
+            found.append(a + np.flatnonzero((100 + q) * apart <= (100 - q) * (self.n[a:z] + ni)))
+        return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def _others(comp: np.ndarray) -> np.ndarray:
+    """Places of those not in the most common component: each pair of different components has one."""
+    value, inverse, count = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.flatnonzero(inverse != count.argmax()) if len(value) > 1 else np.empty(0, np.int64)
+
+
+GROUP = ["key", "kind", "i", "j"]
+
+
+def _suspects(percent: int):
+    """applyInPandas: (key, doc, comp) of members that sizes and bitmaps leave a partner in another component."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([*GROUP, "n", "doc"], kind="stable")
+        comp, n, wide = g["comp"].to_numpy(np.int64), g["n"].to_numpy(np.int64), g["wide"].tolist()
+        flag = np.zeros(len(g), bool)
+        for s, e in _runs([g[c].to_numpy() for c in GROUP]):
+            others = _others(comp[s:e])
+            if not len(others):
+                continue
+            par = Parities(n[s:e], wide[s:e], percent)
+            for i in others.tolist():
+                near = par.near(i)
+                near = near[comp[s + near] != comp[s + i]]
+                if len(near):
+                    flag[s + near] = flag[s + i] = True
+        return g.loc[flag, ["key", "doc", "comp"]]
+
+    return run
+
+
+def _exact_links(percent: int):
+    """applyInPandas: (a, b) of linked members of different components, one for each union that they make."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([*GROUP, "n", "doc"], kind="stable")
+        doc, comp, n, wide, sets = g["doc"].to_numpy(np.int64), g["comp"].to_numpy(np.int64), g["n"].to_numpy(np.int64), g["wide"].tolist(), g["shingles"].tolist()
+        out = []
+        for s, e in _runs([g[c].to_numpy() for c in GROUP]):
+            others = _others(comp[s:e])
+            if not len(others):
+                continue
+            par, root = Parities(n[s:e], wide[s:e], percent), {c: c for c in comp[s:e].tolist()}
+
+            def top(c: int, root: dict[int, int] = root) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for i in others.tolist():
+                for j in par.near(i).tolist():
+                    x, y = top(int(comp[s + i])), top(int(comp[s + j]))
+                    if x == y:
+                        continue
+                    common = len(np.intersect1d(sets[s + i], sets[s + j], assume_unique=True))
+                    if 100 * common >= percent * (int(n[s + i]) + int(n[s + j]) - common):
+                        root[max(x, y)] = min(x, y)
+                        out.append((doc[s + i], doc[s + j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _left_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components of (key, doc, comp), rows of buckets with several.
+
+    All members of different components that share a bucket are compared, in blocks and without a row a pair: first by sizes and bitmaps, which
+    leave the suspects; their full sets then meet in their buckets, where a link is wanted only between components that aren't joined yet.
     """
-    held = docs.join(sets.select("doc", "shingles"), "doc").select("doc", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    held = cut(held)
-    common = held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    w = Window.partitionBy("doc")
-    post = held.join(common, "s").withColumns({"rank": F.row_number().over(w.orderBy("df", "s")), "n_common": F.count("*").over(w)})
-    # shingles in one document only come first, and match nothing
-    post = post.withColumn("rank", F.col("rank") + F.col("n") - F.col("n_common"))
-    # ceil in whole numbers: -((-x) div y)
-    probe = F.expr(f"n + ((-{percent} * n) div 100) + 1")
-    index = F.expr(f"n + ((-{2 * percent} * n) div {100 + percent}) + 1")
-    # div cuts towards zero, which for negative numbers is the ceiling's negative at most one too long: a longer prefix is safe
-    post = cut(post.where(F.col("rank") <= probe).select("s", "doc", "comp", "n", (F.col("rank") <= index).alias("indexed")))
-    post = post.join(sets.select("doc", "bits"), "doc")
-    # the shorter sides of a shingle and component come in lists of about LIST entries, which are looked through without making a row a pair
-    short = post.where("indexed").select("s", F.col("doc").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("nx"), "bits")
-    size_of = short.groupBy("s", "x_comp").agg(F.count("*").alias("size"))
-    short = short.join(size_of, ["s", "x_comp"]).withColumn("part", F.expr(f"pmod(xxhash64(x), (size + {LIST - 1}) div {LIST})"))
-    lists = short.groupBy("s", "x_comp", "part").agg(F.collect_list(F.struct("x", "nx", F.col("bits").alias("bx"))).alias("xs"))
-    meets = post.select("s", F.col("doc").alias("y"), "comp", F.col("n").alias("ny"), F.col("bits").alias("by")).join(lists, "s").where("comp <> x_comp")
-
-    def near(x):
-        order = (x["nx"] < F.col("ny")) | ((x["nx"] == F.col("ny")) & (x["x"] < F.col("y")))
-        return order & (100 * x["nx"] >= percent * F.col("ny")) & _may_link(x["bx"], F.col("by"), x["nx"], F.col("ny"), percent)
-
-    pairs = meets.select("y", F.explode(F.filter("xs", near)).alias("m")).select(F.col("m.x").alias("x"), "y")
-    return _pairs(pairs, "x", "y")
+    small = cut(sets.select("doc", F.size("shingles").cast("long").alias("n"), "wide").join(rest.select("doc").distinct().hint("shuffle_hash"), "doc", "left_semi"))
+    r = _in_blocks(rest.withColumn("one", F.lit(1)), "one", BLOCK_ROWS).drop("one").join(small, "doc")
+    suspects = _grouped(r, F.octet_length("wide") + 64).applyInPandas(_suspects(percent), "key long, doc long, comp long").distinct()
+    suspects = cut(suspects.join(small.select("doc", "n"), "doc"))
+    full = sets.select("doc", "wide", "shingles").join(suspects.select("doc").distinct().hint("shuffle_hash"), "doc", "left_semi")
+    r = _in_blocks(suspects, "n", BLOCK_SHINGLES).join(full, "doc")
+    return _grouped(r, 9 * F.col("n") + 64).applyInPandas(_exact_links(percent), "a long, b long").distinct()
+
+
+def _grouped(r: DataFrame, size):
+    """Groups of whole (key, kind, i, j), of about GROUP_BYTES each."""
+    r = cut(r)
+    total = r.agg(F.sum(size)).first()[0] or 0
+    return r.withColumn("grp", F.pmod(F.xxhash64(*GROUP), F.lit(max(1, -(-int(total) // GROUP_BYTES))))).groupBy("grp")

@@ -126,3 +126,50 @@ def test_without_labels(spark):
     model = toxicity.train(d, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score_documents(d, model).first().predicted == 0
     assert toxicity.score_documents(d.limit(0), model).count() == 0
+
+
+def test_left_links_join_what_all_pairs_would(spark, monkeypatch):
+    """Members of buckets in components of their own, in blocks far smaller than a bucket."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
+    monkeypatch.setattr(minhash, "GROUP_BYTES", 20_000)
+    r = random.Random(8)
+    texts = {}
+    base = [f"w{i}" for i in range(130)]
+    for d in range(60):
+        own = list(base[: r.choice([60, 90, 120, 130])])
+        for _ in range(r.randrange(6)):
+            own[r.randrange(len(own))] = f"x{r.randrange(9999)}"
+        texts[d] = " ".join(own)
+    texts[60], texts[61] = "a b c d", "a b c d e"
+    want = {d: c for d, (_, c) in brute(texts).items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = minhash.full_sets(docs, P)
+    for same in (False, True):
+        # apart at first, or most of them in one component already
+        comp = {d: min(want[d], d) if same and d % 3 else d for d in texts}
+        rest = spark.createDataFrame([(k, d, comp[d]) for k in (1, 2) for d in texts if k == 1 or d % 5 == 0], "key long, doc long, comp long")
+        edges = [(x.a, x.b) for x in minhash._left_links(rest, sets, 80).collect()] + [(d, comp[d]) for d in texts]
+        root = {d: d for d in texts}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        assert {d: find(d) for d in texts} == want
+        assert len(edges) < 6 * len(texts)
+
+
+def test_parities_rule_out_no_linked_set():
+    r = random.Random(4)
+    sets = [shingles(" ".join(f"w{r.randrange(n + 40)}" for _ in range(n)), 4) for n in (3, 20, 33, 70, 140, 200, 300) for _ in range(4)]
+    sets += [s[: max(1, int(len(s) * 0.82))] for s in sets]
+    sets.sort(key=len)
+    par = minhash.Parities(np.array([len(s) for s in sets]), [minhash.wide_bitmap(s) for s in sets], 80)
+    for i, a in enumerate(sets):
+        linked = {j for j, b in enumerate(sets) if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))}
+        assert linked <= set(par.near(i).tolist())
