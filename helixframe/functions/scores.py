@@ -41,8 +41,42 @@ def is_proper(library: str, strand1: Column, strand2: Column, isize: Column) ->
     return F.when(left, a).otherwise(b)
 
 
-def label(both: Column, same_ref: Column, proper: Column, within: Column) -> Column:
-    return F.when(~both, "S").when(~same_ref, "D").when(~proper, "C").when(within, "A").otherwise("B")
+def label(both: Column, same_ref: Column, proper: Column, within: Column, mapped: Column | None = None, partial: Column | None = None, multi: Column | None = None) -> Column:
+    """A proper within the limits, B proper, C one reference, D two; S a mate alone; P a secondary part; R several places, none taken; N none."""
+    t, f = F.lit(True), F.lit(False)
+    mapped, partial, multi = t if mapped is None else mapped, f if partial is None else partial, f if multi is None else multi
+    return F.when(~mapped & multi, "R").when(~mapped, "N").when(partial, "P").when(~both, "S").when(~same_ref, "D").when(~proper, "C").when(within, "A").otherwise("B")
+
+
+def clip_lengths(strand: Column, q_start: Column, q_end: Column, n: Column) -> Column:
+    """struct<before, after>: bases of a read of length n outside its aligned span, in the reference's direction."""
+    left, right = q_start - 1, n - q_end
+    minus = strand == "-"
+    return F.struct(F.when(minus, right).otherwise(left).alias("before"), F.when(minus, left).otherwise(right).alias("after"))
+
+
+def mate_fields(name: Column, pos: Column, both: Column, isize: Column, mate: Column) -> Column:
+    """struct<rnext, pnext, tlen> given the other mate's reference and place: the full name, never an equals sign; signs of tlen differ between mates."""
+    mapped = name.isNotNull()
+    return F.struct(F.when(mapped, name).otherwise("*").alias("rnext"), F.when(mapped, pos).otherwise(0).alias("pnext"), F.when(both, F.when(mate == 1, isize).otherwise(-isize)).otherwise(0).alias("tlen"))
+
+
+def identity_reached(n_match: Column, min_identity: float, n: Column) -> Column:
+    """Whether matches reach a share of the read's length (up to 1), or a number of bases."""
+    return n_match >= (F.floor(F.lit(min_identity) * n) if min_identity <= 1 else F.lit(int(min_identity)))
+
+
+def work_cap(hits_used: Column, hits_total: Column, aligned: Column, candidates: Column, top: int = 60, added: int = 3) -> Column:
+    """Highest quality that the work done leaves: of hits looked at and candidates aligned, the lesser share counts."""
+    share = F.least(hits_used / (hits_total + added), aligned / (candidates + added))
+    lost = F.when(share > 1e-7, -10 * F.log10(F.greatest(share, F.lit(1e-7)))).otherwise(top)
+    return F.when(lost < top, top - F.floor(lost)).otherwise(0).cast("int")
+
+
+def placement_probability(mapq: Column, n_best: Column, n_second: Column, sw_rank: Column) -> Column:
+    """Probability of a placement: 1 - 10^(-mapq / 10) of a single best, the rest among the second best; of several best an equal share."""
+    error = F.exp(-F.log(F.lit(10.0)) * mapq / 10)
+    return F.when(n_best > 1, F.when(sw_rank == 0, 1 / n_best).otherwise(0.0)).when(sw_rank == 0, 1 - error).when(sw_rank == 1, error / F.greatest(n_second, F.lit(1))).otherwise(0.0)
 
 
 def sam_flag(paired: Column, proper: Column, unmapped: Column, mate_unmapped: Column, reverse: Column, mate_reverse: Column, mate: Column, secondary: Column) -> Column:

@@ -5,7 +5,7 @@ Every index row carries its sequence, so nothing works on a concatenation; only
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import dna, encode
@@ -20,13 +20,52 @@ def refs_from_documents(docs: DataFrame) -> DataFrame:
     return b.select("seq_idx", "name", F.length("bases").cast("long").alias("length"), "bases")
 
 
-def with_offsets(refs: DataFrame, buckets: int = 1 << 16) -> DataFrame:
-    """Adds offset, the bases of all sequences before. Two running sums: over ranges of seq_idx, and within one."""
-    r = refs.withColumn("_b", F.expr(f"seq_idx div {buckets}"))
+#: Rows of a range of sequences whose lengths are summed within one task, and rows of offsets (16 bytes each) that are broadcast at most.
+RANGE = 1 << 16
+BROADCAST_ROWS = 500_000
+
+
+def offsets(refs: DataFrame, rows: int = RANGE) -> DataFrame:
+    """(seq_idx, offset): the bases of all sequences before. Only lengths are moved.
+
+    Two running sums: over ranges of seq_idx, and within one; a null seq_idx comes first, sequences of one number in any order.
+    """
+    r = refs.select("seq_idx", "length").withColumn("_b", F.expr(f"seq_idx div {rows}"))
     ahead = r.groupBy("_b").agg(F.sum("length").alias("_n"))
-    ahead = ahead.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_ahead"))
-    own = Window.partitionBy("_b").orderBy("seq_idx")
-    return r.join(ahead, "_b").withColumn("offset", F.col("_ahead") + F.sum("length").over(own) - F.col("length")).drop("_b", "_ahead")
+    ahead = ahead.select(F.col("_b").alias("_a"), (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_ahead"))
+    own = Window.partitionBy("_b").orderBy("seq_idx").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("_own", F.sum("length").over(own) - F.col("length"))
+    return r.join(F.broadcast(ahead), F.col("_b").eqNullSafe(F.col("_a"))).select("seq_idx", (F.col("_ahead") + F.col("_own")).alias("offset"))
+
+
+def with_offsets(refs: DataFrame) -> DataFrame:
+    """Adds offset. Few enough offsets are broadcast, so bases stay where they are; more are the hashed side of one exchange, which sorts nothing."""
+    o = offsets(refs)
+    o = F.broadcast(o) if refs.count() <= BROADCAST_ROWS else o.hint("shuffle_hash")
+    return refs.join(o, "seq_idx")
+
+
+#: Bases of a reference piece; each also holds the next one's, so that a window no longer than it lies in one.
+PIECE_BASES = 1 << 12
+
+
+def pieces(refs: DataFrame, width: int = PIECE_BASES) -> DataFrame:
+    """(seq_idx, piece, text, length): two widths of bases from ``piece * width``; a lookup then moves these, never whole sequences."""
+    n = F.greatest(F.lit(0), F.expr(f"(length - 1) div {width}"))
+    r = refs.select("seq_idx", "length", "bases", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("piece"))
+    return r.select("seq_idx", "piece", "length", F.substring("bases", (F.col("piece") * width + 1).cast("int"), F.lit(2 * width)).alias("text"))
+
+
+def fetch(windows: DataFrame, refs: DataFrame, longest: int, start: str = "left", size: str = "size") -> DataFrame:
+    """Windows (seq_idx, start from 0, size at most ``longest``) with ``window``, their bases, and ``length``, the sequence's.
+
+    A window is cut at the sequence's end; one that starts past it, or before its start, fails the job, as does an unknown size.
+    """
+    width = max(PIECE_BASES, 1 << (max(1, longest) - 1).bit_length())
+    w = windows.withColumn("piece", F.expr(f"{start} div {width}")).join(pieces(refs, width), ["seq_idx", "piece"], "left")
+    inside = F.col("text").isNotNull() & (F.col(start) >= 0) & ((F.col(start) < F.col("length")) | ((F.col(start) == 0) & (F.col("length") == 0))) & (F.col(size) <= width)
+    text = F.substring("text", (F.col(start) - F.col("piece") * width + 1).cast("int"), F.col(size).cast("int"))
+    return w.withColumn("window", F.when(inside, text).otherwise(F.raise_error(F.lit("window outside its sequence")))).drop("piece", "text")
 
 
 def kmers(refs: DataFrame, k: int, stride: int) -> DataFrame:
@@ -35,8 +74,8 @@ def kmers(refs: DataFrame, k: int, stride: int) -> DataFrame:
     last = F.col("length") - k
     # pieces of PIECE words first: a word is then cut from a short string, not from the whole sequence
     step = stride * PIECE
-    r = refs.where(first <= last).select("seq_idx", "offset", encode(F.col("bases")).alias("bases"), last.alias("last"), F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("at"))
-    p = r.select("seq_idx", "offset", "at", "last", F.substring("bases", F.col("at").cast("int") + 1, F.lit(step - stride + k)).alias("piece"))
+    r = refs.where(first <= last).select("seq_idx", "offset", "bases", last.alias("last"), F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("at"))
+    p = r.select("seq_idx", "offset", "at", "last", encode(F.substring("bases", F.col("at").cast("int") + 1, F.lit(step - stride + k))).alias("piece"))
     inside = F.sequence(F.lit(0).cast("long"), F.least(F.lit(step - stride), F.col("last") - F.col("at")), F.lit(stride).cast("long"))
     words = F.transform(inside, lambda i: F.struct((F.col("at") + i).alias("pos"), F.substring(F.col("piece"), i.cast("int") + 1, F.lit(k)).alias("word")))
     e = p.select("seq_idx", "offset", F.explode(words).alias("w"))
@@ -44,6 +83,33 @@ def kmers(refs: DataFrame, k: int, stride: int) -> DataFrame:
     return w.where(~F.col("word").contains("N"))
 
 
+def restricted(refs: DataFrame, intervals: DataFrame, k: int, stride: int, max_words: int | None = None) -> DataFrame:
+    """Index of the words that lie within closed intervals (seq_idx, lo, hi; from 0), each word once; refs with offsets.
+
+    More than ``max_words`` words fail the job: an index over windows is meant to be small.
+    """
+    w = 1 << 12
+    iv = intervals.select("seq_idx", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {w}"), F.expr(f"hi div {w}"))).alias("bin"))
+    at = kmers(refs.join(intervals.select("seq_idx").distinct(), "seq_idx", "left_semi"), k, stride).withColumn("bin", F.expr(f"pos div {w}"))
+    inside = at.join(iv, ["seq_idx", "bin"]).where(f"pos >= lo AND pos + {k} - 1 <= hi").select("word", "seq_idx", "pos", "tpos").distinct()
+    if max_words is not None and inside.count() > max_words:
+        raise ValueError(f"more than {max_words} words in the intervals")
+    return inside
+
+
+def layout(k: int, n_words: int, max_key_bits: int = 26) -> tuple[str, int]:
+    """("direct", bits of a word) where words address a table of their own, unless there are over twice as many addresses as words; else ("hashed", bits of a key)."""
+    bits = 2 * k
+    if bits <= 62 and (1 << bits) <= 2 * n_words:
+        return "direct", bits
+    return "hashed", min(max_key_bits, bits, max(1, (2 * max(1, n_words) - 1).bit_length()))
+
+
+def buckets_for(n_rows: int, rows_a_bucket: int = 4_000_000) -> int:
+    """Buckets of a stored index: a power of two, so that two indexes' buckets divide each other."""
+    return 1 << max(0, (max(1, -(-n_rows // rows_a_bucket)) - 1).bit_length())
+
+
 def word_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("word").agg(F.count("*").alias("nhits"))
 
@@ -52,9 +118,34 @@ def frequency_histogram(counts: DataFrame) -> DataFrame:
     return counts.groupBy("nhits").agg(F.count("*").alias("n_words"))
 
 
-def save_index(index: DataFrame, table: str, buckets: int = 512) -> None:
-    """A table bucketed and sorted by word: joins on word then move only the reads."""
-    index.write.bucketBy(buckets, "word").sortBy("word", "tpos").mode("overwrite").saveAsTable(table)
+def save_index(index: DataFrame, table: str, k: int, stride: int, buckets: int | None = None) -> None:
+    """A table bucketed and sorted by word, with k and the stride among its properties: joins on word then move only the reads."""
+    n = buckets or buckets_for(index.count())
+    index.write.bucketBy(n, "word").sortBy("word", "tpos").mode("overwrite").saveAsTable(table)
+    index.sparkSession.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('word_length' = '{k}', 'stride' = '{stride}')")
+
+
+def load_index(spark: SparkSession, table: str) -> tuple[DataFrame, int, int]:
+    """(index, k, stride) of a table that :func:`save_index` wrote; one without these properties is refused."""
+    p = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    if not {"word_length", "stride"} <= set(p):
+        raise ValueError(f"{table} is no word index")
+    return spark.table(table), int(p["word_length"]), int(p["stride"])
+
+
+def save_refs(refs: DataFrame, path: str) -> None:
+    """A reference set as Parquet: (seq_idx, name, length, bases)."""
+    refs.select("seq_idx", "name", "length", "bases").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def load_refs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("seq_idx long, name string, length long, bases string").parquet(path)
+
+
+def refs_from_fastx(records: DataFrame) -> DataFrame:
+    """(seq_idx, name, length, bases) of (read_id, qname, seq, …): numbers in the records' order, names cut at the first blank, letters as bases."""
+    b = records.select(F.col("read_id").alias("seq_idx"), F.split("qname", r"\s")[0].alias("name"), encode(F.col("seq")).alias("bases"))
+    return b.select("seq_idx", "name", F.length("bases").cast("long").alias("length"), "bases")
 
 
 def missing_words(index: DataFrame, refs: DataFrame, k: int, stride: int) -> DataFrame:
@@ -69,3 +160,17 @@ def locate(offsets: DataFrame, refs: DataFrame, width: int = 1 << 14) -> DataFra
     r = refs.where("length > 0").select("seq_idx", "offset", "length", F.explode(F.sequence(F.expr(f"offset div {width}"), F.expr(f"(offset + length - 1) div {width}"))).alias("bin"))
     o = offsets.withColumn("bin", F.expr(f"tpos div {width}"))
     return o.join(r, "bin").where("tpos >= offset AND tpos < offset + length").select("tpos", "seq_idx", (F.col("tpos") - F.col("offset")).alias("pos"))
+
+
+def split_spans(a: DataFrame, refs: DataFrame) -> DataFrame:
+    """Placements (read_id, mate, t_start, t_end; from 1, along the concatenation) as a part for each sequence they touch.
+
+    Parts are (…, seq_idx, r_start, r_end, part, n_parts) with places from 1 within their sequence, in the order of sequences.
+    """
+    w = 1 << 14
+    bins = lambda lo, hi: F.explode(F.sequence(F.expr(f"({lo}) div {w}"), F.expr(f"({hi}) div {w}")))
+    r = refs.where("length > 0").select("seq_idx", "offset", "length", bins("offset", "offset + length - 1").alias("bin"))
+    j = a.withColumn("bin", bins("t_start - 1", "t_end - 1")).join(r, "bin").where("t_start - 1 < offset + length AND t_end - 1 >= offset").drop("bin").distinct()
+    j = j.withColumns({"r_start": F.greatest(F.col("t_start") - 1, "offset") - F.col("offset") + 1, "r_end": F.least(F.col("t_end"), F.col("offset") + F.col("length")) - F.col("offset")})
+    own = Window.partitionBy("read_id", "mate", "t_start", "t_end")
+    return j.withColumns({"part": F.row_number().over(own.orderBy("seq_idx")), "n_parts": F.count("*").over(own)}).drop("offset", "length")

@@ -6,23 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import reverse_complement
+from ..storage import cut
+from . import index
 
 READ = ["read_id", "mate", "strand"]
 
 
 def query_words(reads: DataFrame, k: int, min_quality: int = 0) -> DataFrame:
-    """(read_id, mate, strand, qoffs, word) of both strands; offsets are those of the forward read.
+    """(read_id, mate, n, strand, qoffs, word) of both strands; n is the read's length, offsets are those of the forward read.
 
     Words with another letter than ACGT are dropped, and with qualities those with a base under ``min_quality``.
     """
     n = F.length("seq")
-    r = reads.where(n >= k).select("read_id", "mate", "seq", "qual", F.explode(F.sequence(F.lit(0), n - k)).alias("qoffs"))
+    r = reads.where(n >= k).select("read_id", "mate", n.alias("n"), "seq", "qual", F.explode(F.sequence(F.lit(0), n - k)).alias("qoffs"))
     r = r.withColumn("word", F.substring("seq", F.col("qoffs") + 1, F.lit(k))).where("NOT word RLIKE '[^ACGT]'")
     if min_quality:
         worst = F.array_min(F.transform(F.split(F.substring("qual", F.col("qoffs") + 1, F.lit(k)), ""), F.ascii)) - 33
         r = r.where(F.col("qual").isNull() | (worst >= min_quality))
     both = F.array(F.struct(F.lit("+").alias("strand"), F.col("word").alias("word")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("word")).alias("word")))
-    return r.select("read_id", "mate", "qoffs", F.explode(both).alias("b")).select("read_id", "mate", "b.strand", "qoffs", "b.word")
+    return r.select("read_id", "mate", "n", "qoffs", F.explode(both).alias("b")).select("read_id", "mate", "n", "b.strand", "qoffs", "b.word")
 
 
 def drop_repeats(words: DataFrame, back: int = 4) -> DataFrame:
@@ -39,11 +41,59 @@ def hit_counts(words: DataFrame, counts: DataFrame, max_hits: int) -> DataFrame:
     return words.join(counts.where(F.col("nhits") <= max_hits), "word")
 
 
-def choose_seeds(counted: DataFrame, budget: int, at_least: int = 3) -> DataFrame:
-    """The rarest words of a read's strand whose hits add up to the budget, three at least."""
+def looked_up(words: DataFrame, ix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words with nhits, their number of places, and the part of the index that holds them.
+
+    That part is made once, for both the counts and the places: of an index that is computed, not stored, one pass.
+    """
+    used = cut(ix.join(words.select("word").distinct(), "word", "left_semi"))
+    return words.join(index.word_counts(used), "word"), used
+
+
+def choose_seeds(counted: DataFrame, budget: int, at_least: int = 3, k: int | None = None, stride: int | None = None) -> DataFrame:
+    """The rarest words of a read's strand whose hits add up to the budget, three at least; with ``seed_rank`` and ``running`` hits.
+
+    With k and stride, a frame of the stride whose chosen words cover less than 2 k + stride bases (or four fifths of the read, if
+    that is less) is given more of its words, in the same order.
+    """
     w = Window.partitionBy(*READ).orderBy("nhits", "qoffs")
     r = counted.withColumns({"seed_rank": F.row_number().over(w), "running": F.sum("nhits").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return r.where((F.col("running") <= budget) | (F.col("seed_rank") <= at_least))
+    chosen = (F.col("running") <= budget) | (F.col("seed_rank") <= at_least)
+    if k is None or stride is None:
+        return r.where(chosen)
+    wanted = 2 * k + stride
+    own = Window.partitionBy(*READ, "_frame").orderBy("nhits", "qoffs")
+    r = r.withColumn("_frame", F.pmod("qoffs", F.lit(stride))).withColumn("_nth", F.row_number().over(own))
+    # every word adds a base at least, so only so many words of a frame can be wanted
+    before = F.collect_list(F.when(F.col("_nth") <= wanted, F.col("qoffs"))).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(before, lambda q: F.sequence(q, q + (k - 1))))))
+    short = (F.col("_nth") <= wanted) & (covered < F.least(F.lit(wanted), F.expr("n * 4 div 5")))
+    return r.withColumn("_short", short).where(chosen | F.col("_short")).drop("_frame", "_nth", "_short")
+
+
+def adaptive_cutoff(counted: DataFrame, max_hits: int = 10_000, floor: int = 16) -> DataFrame:
+    """Words with at most ``cutoff`` places, the greatest halving of ``max_hits`` under which a read's strand has no more than max(8192, 32 n ln n) hits."""
+    tries = [max_hits]
+    while tries[-1] // 2 >= floor:
+        tries.append(tries[-1] // 2)
+    w = Window.partitionBy(*READ)
+    cap = F.greatest(F.lit(8192.0), 32 * F.col("n") * F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")))
+    cutoff = F.lit(tries[-1])
+    for t in reversed(tries):
+        cutoff = F.when(F.sum(F.when(F.col("nhits") <= t, F.col("nhits")).otherwise(0)).over(w) <= cap, t).otherwise(cutoff)
+    return counted.withColumn("cutoff", cutoff).where("nhits <= cutoff")
+
+
+def work(counted: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(read_id, mate, hits_used, hits_total) over both strands."""
+    per = lambda c, n: c.groupBy("read_id", "mate").agg(F.sum("nhits").alias(n))
+    return per(counted, "hits_total").join(per(chosen, "hits_used"), ["read_id", "mate"], "left").select("read_id", "mate", F.coalesce("hits_used", F.lit(0)).alias("hits_used"), "hits_total")
+
+
+def rarer_mate(counted: DataFrame, max_hits: int) -> DataFrame:
+    """(read_id, rare): the mate with fewer hits within the cut-off, the first if they tie."""
+    per = counted.groupBy("read_id", "mate").agg(F.sum(F.when(F.col("nhits") <= max_hits, F.col("nhits")).otherwise(0)).alias("hits"))
+    return per.groupBy("read_id").agg(F.min(F.struct("hits", "mate")).alias("r")).select("read_id", F.col("r.mate").alias("rare"))
 
 
 def hits(seeds: DataFrame, index: DataFrame, k: int) -> DataFrame:
@@ -83,27 +133,30 @@ def cover_deficit(words: DataFrame, k: int, stride: int) -> DataFrame:
     return per.groupBy(*READ).agg((F.max("n") - F.min("n") + 1).alias("deficit"))
 
 
-def ungapped(reads: DataFrame, segs: DataFrame, refs: DataFrame, k: int, match: int = 1, subst: int = -2) -> DataFrame:
-    """Best ungapped local score on each segment's diagonal, within whole-array expressions: (read, seq_idx, shift, score, q_start, q_end)."""
+def ungapped(reads: DataFrame, segs: DataFrame, refs: DataFrame, k: int, longest: int, match: int = 1, subst: int = -2) -> DataFrame:
+    """Best ungapped local score on each segment's diagonal: (read, seq_idx, shift, score, q_start, q_end).
+
+    The reference's bases along a diagonal are cut out once, and both strings are walked as arrays. ``longest``: bases of the longest read.
+    """
     d = segs.select(*READ, "seq_idx", "shift").distinct().join(reads.select("read_id", "mate", "seq"), ["read_id", "mate"])
-    d = d.withColumns({"q": F.when(F.col("strand") == "+", F.col("seq")).otherwise(reverse_complement(F.col("seq"))), "n": F.length("seq").cast("long")})
+    d = d.withColumns({"q": F.when(F.col("strand") == "+", F.col("seq")).otherwise(reverse_complement(F.col("seq"))), "n": F.length("seq").cast("long")}).drop("seq")
     # the other strand's diagonals count forward offsets of words; of the turned read they are n - k less
     d = d.withColumn("shift", F.when(F.col("strand") == "-", F.col("shift") - (F.col("n") - k)).otherwise(F.col("shift")))
-    d = d.join(refs.select("seq_idx", "bases", "length"), "seq_idx")
-    lo = F.greatest(F.lit(0), -F.col("shift"))
-    hi = F.least(F.col("n"), F.col("length") - F.col("shift"))
-    at = F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
-    zero = F.struct(F.lit(0).alias("run"), F.lit(0).cast("bigint").alias("from"), F.lit(0).alias("best"), F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("e"))
-
-    def step(a, i):
-        same = F.substring(F.col("q"), (i + 1).cast("int"), F.lit(1)) == F.substring(F.col("bases"), (i + F.col("shift") + 1).cast("int"), F.lit(1))
-        run = F.greatest(a["run"], F.lit(0)) + F.when(same, match).otherwise(subst)
-        frm = F.when(a["run"] > 0, a["from"]).otherwise(i)
+    d = d.withColumn("lo", F.greatest(F.lit(0), -F.col("shift"))).withColumns({"left": F.col("shift") + F.col("lo"), "size": F.col("n") - F.col("lo")})
+    d = index.fetch(d, refs, longest)
+    zero = F.struct(F.lit(0).alias("run"), F.lit(0).cast("bigint").alias("from"), F.lit(0).alias("best"), F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("e"), F.lit(0).cast("bigint").alias("i"))
+    letters = lambda c: F.split(c, "")
+    q = F.substring("q", F.col("lo").cast("int") + 1, F.length("window"))
+    same = F.zip_with(letters(q), letters(F.col("window")), lambda x, y: x == y)
+
+    def step(a, hit):
+        run = F.greatest(a["run"], F.lit(0)) + F.when(hit, match).otherwise(subst)
+        frm = F.when(a["run"] > 0, a["from"]).otherwise(a["i"])
         better = run > a["best"]
-        return F.struct(run.alias("run"), frm.alias("from"), F.when(better, run).otherwise(a["best"]).alias("best"), F.when(better, frm).otherwise(a["s"]).alias("s"), F.when(better, i + 1).otherwise(a["e"]).alias("e"))
+        return F.struct(run.alias("run"), frm.alias("from"), F.when(better, run).otherwise(a["best"]).alias("best"), F.when(better, frm).otherwise(a["s"]).alias("s"), F.when(better, a["i"] + 1).otherwise(a["e"]).alias("e"), (a["i"] + 1).alias("i"))
 
-    b = d.select(*READ, "seq_idx", "shift", "n", F.aggregate(at, zero, step).alias("b"))
-    return b.select(*READ, "seq_idx", "shift", "n", F.col("b.best").alias("score"), F.col("b.s").alias("q_start"), F.col("b.e").alias("q_end"))
+    b = d.where(F.length("window") > 0).select(*READ, "seq_idx", "shift", "n", "lo", F.aggregate(same, zero, step).alias("b"))
+    return b.select(*READ, "seq_idx", "shift", "n", F.col("b.best").alias("score"), (F.col("lo") + F.col("b.s")).alias("q_start"), (F.col("lo") + F.col("b.e")).alias("q_end"))
 
 
 def best_hits(scored: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import names_match
@@ -77,9 +77,13 @@ def pair_up(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("read_id", F.explode(F.when(lonely, F.raise_error(F.lit("files of mates differ in length"))).otherwise(both)).alias("r")).select("read_id", "r.*")
 
 
-def check(reads: DataFrame) -> DataFrame:
-    """(n_reads, max_length, max_name, all_letters)."""
-    return reads.agg(F.count("*").alias("n_reads"), F.max(F.length("seq")).cast("long").alias("max_length"), F.max(F.length("qname")).cast("long").alias("max_name"), F.bool_and(F.col("seq").rlike("^[A-Za-z]*$")).alias("all_letters"))
+def check(reads: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(n_reads, max_length, max_name, all_letters), of all records or by group; null without records."""
+    return reads.groupBy(*(by or [])).agg(F.count("*").alias("n_reads"), F.max(F.length("seq")).cast("long").alias("max_length"), F.max(F.length("qname")).cast("long").alias("max_name"), F.bool_and(letters_only(F.col("seq"))).alias("all_letters"))
+
+
+def letters_only(seq: Column) -> Column:
+    return seq.rlike(r"\A[A-Za-z]*\z")
 
 
 def check_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
