@@ -1,14 +1,17 @@
-"""What the operators of this package share: word rules, checkpoints, hashing of byte strings."""
+"""What the operators of this package share: word rules and hashing of byte strings; and, from the library, tables in the shared folder."""
 
 from __future__ import annotations
 
 import re
-import tempfile
 
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut, exists, forget_at_exit, remove, shared_dir, stored
+
+__all__ = ["cut", "exists", "forget_at_exit", "remove", "shared_dir", "stored"]
+
 #: Words are maximal runs of characters other than the six ASCII blanks; ``bytes.split()`` cuts alike.
 BLANK = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANK}]+"
@@ -17,32 +20,6 @@ LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 M64 = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not d:
-        d = sc.getCheckpointDir()
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(d)
-    return d
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and cut the lineage; survives lost executors.
-
-    What came before is then unreachable, and collecting the driver's garbage lets Spark delete its shuffle files now.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
-    spark._jvm.System.gc()
-    return out
-
-
 def tidy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just (doc_id, text), a null text read as empty; other columns, whatever their names, are left out."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

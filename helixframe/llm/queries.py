@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, exact_dedup, minhash, mixing, packing, pii, quality_rules, suffix_dedup, token_counts, toxicity
+from .common import stored
 from .tokens import vocabulary_path
 
 
@@ -48,9 +49,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(table(spark, sf_dir, "documents"), b"surrogates of the op8 query")
+    """Texts with surrogates and what was replaced; ``n_collisions`` is that of the whole table: entities that share a surrogate, or have two."""
+    out = stored(pii.pseudonymise(table(spark, sf_dir, "documents"), b"surrogates of the op8 query"))
+    bad = pii.collisions(pii.found_in(out)).count()
     kind = lambda k: F.size(F.filter("entities", lambda e: e["kind"] == k)).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *map(kind, pii.KINDS), "text", "entities")
+    shown = F.transform("entities", lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"), e["surrogate"].alias("surrogate")))
+    return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *map(kind, pii.KINDS), F.lit(bad).cast("long").alias("n_collisions"), "text", shown.alias("entities"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

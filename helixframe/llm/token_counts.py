@@ -15,25 +15,15 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, tidy
+from .common import cut, exists, remove, shared_dir, tidy
 from .tokens import byte_counter, version_digest
 
 CACHE = "digest binary, version string, n_tokens long"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _key(text: Column, normalise: Callable[[Column], Column]) -> Column:
     return F.unhex(F.sha2(F.encode(normalise(text), "UTF-8"), 256))
 
