@@ -6,6 +6,9 @@ order of descending cost, each piece into the lowest-cost sequence that has room
 that is left, so that every sequence is full but for less than ``grain`` ids a block. There is no exchange, and a
 retried task numbers its sequences as before, since its rows and their order are those of its input split.
 
+With ``in_order`` a block holds documents that were written one after the other, to one file, and its sequences carry the ``place`` of its first document:
+sequences read by place are then trained in the order in which an earlier stage wrote the documents, to within a block.
+
 Defined results: null text counts as empty, and an empty document is just its end id; null ids and repeated rows are documents
 of their own; an empty table gives an empty result; other columns are ignored.
 """
@@ -18,7 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import tidy
 from .tokens import chunk_table
@@ -90,8 +95,30 @@ def pack_block(ids: list[bytes], size: int, grain: int, linear: float, quadratic
         fill[s] += length
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, grain: int = 32, linear: float = 1.0, quadratic: float = 1.0 / 4096, block_ids: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece. ``block_ids``: ids a task holds at once (a longer document is a block of its own)."""
+#: Bits of a place that number rows within a file.
+ROW_BITS = 36
+
+
+def as_written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, place) of documents read from Parquet files that Spark wrote; place is their order: part, file of the part, row.
+
+    Null where rows don't come from such files.
+    """
+    try:
+        d = docs.select(F.col(id_col), F.col(text_col), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return tidy(docs, id_col, text_col).withColumn("place", F.lit(None).cast("long"))
+    number = lambda pattern: F.regexp_extract("_file", pattern, 1).cast("long")
+    file = F.shiftleft(number(r"part-(\d+)"), 6) + F.least(F.lit(63), F.coalesce(number(r"-c(\d+)\."), F.lit(0)))
+    place = F.when(F.col("_file").rlike(r"^part-\d+"), F.shiftleft(file, ROW_BITS) + F.col("_row"))
+    return d.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), place.alias("place"))
+
+
+def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, grain: int = 32, linear: float = 1.0, quadratic: float = 1.0 / 4096, block_ids: int = 1 << 22, in_order: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece. ``block_ids``: ids a task holds at once (a longer document is a block of its own).
+
+    With ``in_order`` there is a column ``place``; to be read by (place, sequence_id, offset).
+    """
     if size & (size - 1) or grain & (grain - 1) or grain > size:
         raise ValueError("size and grain are powers of two, grain at most size")
     end = np.array([end_id], "<u4").tobytes()
@@ -102,21 +129,29 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, grain: i
         keys: list = []
         ids: list[bytes] = []
         held = 0
+        start = file = None
 
         def flush() -> pa.RecordBatch:
             nonlocal first, keys, ids, held
             rows = list(pack_block(ids, size, grain, linear, quadratic))
-            d, start, length, crc, seq, off, cost = zip(*rows, strict=True)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in d], pa.int64()), *(pa.array(x, pa.int64()) for x in (start, length, crc, [len(ids[i]) // 4 for i in d], [first + s for s in seq], off)), pa.array(cost, pa.float64())],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost"],
-            )
+            d, begin, length, crc, seq, off, cost = zip(*rows, strict=True)
+            columns = [pa.array([keys[i] for i in d], pa.int64()), *(pa.array(x, pa.int64()) for x in (begin, length, crc, [len(ids[i]) // 4 for i in d], [first + s for s in seq], off)), pa.array(cost, pa.float64())]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost"]
+            if in_order:
+                columns, names = [*columns, pa.array([start] * len(d), pa.int64())], [*names, "place"]
+            out = pa.RecordBatch.from_arrays(columns, names=names)
             first += max(seq) + 1
             keys, ids, held = [], [], 0
             return out
 
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            places = b.column(2).to_pylist() if in_order else [None] * b.num_rows
+            for k, t, place in zip(b.column(0).to_pylist(), b.column(1), places, strict=True):
+                own = None if place is None else place >> ROW_BITS
+                if keys and own != file:
+                    yield flush()
+                if not keys:
+                    start, file = place, own
                 x = table.encode(t.as_py()) + end
                 keys.append(k)
                 ids.append(x)
@@ -126,4 +161,6 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, grain: i
         if keys:
             yield flush()
 
+    if in_order:
+        return as_written(docs, id_col, text_col).mapInArrow(run, f"{OUT}, place long")
     return tidy(docs, id_col, text_col).mapInArrow(run, OUT)

@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from helixframe.llm import quality_rules
+from helixframe.llm import mixing, packing, quality_rules
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -11,6 +11,8 @@ def test_stages_against_brute_force(spark, tmp_path):
     raw = docs.toPandas()
     kept = []
     for stage, (_, f) in enumerate(corpus_pipeline.STAGES):
+        # the mix goes to several files
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", stage != 3)
         f(spark, docs, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/{stage}")
         docs = spark.read.parquet(f"{tmp_path}/{stage}")
         kept.append(docs.toPandas())
@@ -41,6 +43,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     words = sum(len(t.split()) for t in kept[2].text)
     assert sum(len(t.split()) for t in kept[3].text) == pytest.approx(words, rel=0.05)
     assert Counter(kept[4][kept[4].start == 0].doc_id) == copies
+    # documents were written in the order of their positions, and sequences are made of such runs, in that order
+    near = spark.read.parquet(f"{tmp_path}/2")
+    written = [r.doc_id for r in packing.as_written(spark.read.parquet(f"{tmp_path}/3")).orderBy("place").collect()]
+    assert written == [r.doc_id for r in mixing.mix(near).orderBy("mix_position", "doc_id").collect()]
+    at = 0
+    for _, block in kept[4].sort_values("place").groupby("place"):
+        own = Counter(block[block.start == 0].doc_id)
+        n = sum(own.values())
+        assert own == Counter(written[at : at + n])
+        at += n
+    assert at == len(written) and kept[4].place.nunique() > 1
 
 
 def test_one_row_of_a_group_stays_whatever_its_id(spark):
