@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import exact_dedup, minhash, mixing, packing, quality_rules
-from helixframe.llm.common import cut, shared_dir
+from helixframe.llm.common import cut, forget_at_exit, shared_dir
 from helixframe.llm.tokens import vocabulary_path
 from helixframe.shipping import ship
 
@@ -41,15 +41,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in the order of training positions."""
+    """Documents as often as the mix takes them, in the order of training positions: over files by number, then rows."""
     ship(spark)
     return mixing.mix(docs).drop("mix_position")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
+    """Pieces of documents in sequences, which by ``place`` come in the order of training positions."""
     ship(spark)
-    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"))
+    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"), in_order=True)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -73,9 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared folder."""
+    """All stages over ``documents``; what each keeps is written to the shared folder, where it stays while the application runs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    forget_at_exit(spark, at)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
