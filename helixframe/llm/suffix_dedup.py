@@ -10,7 +10,11 @@ distributable, so equal strings are first brought together:
    window that repeats within its own text is sent once. Equal segments are folded map-side.
 3. Segments are dealt by gram into groups of bounded size, and each group's suffix array is built by doubling. In suffix order, previous and
    next smaller positions give the longest previous factor of each window start; at least ``length`` means it stands earlier.
-   A gram with more than ``HOT_SEGMENTS`` different segments is not gathered: its windows are counted by hash, map-side first.
+4. A gram with more than ``HOT_SEGMENTS`` different segments would make too large a group. Each of its windows holds, next to the gram, half of what the
+   window has besides on one of both sides; so the windows are dealt anew by the gram with that half added, each segment into two at
+   most, and go through step 3. What isn't settled so is halved again: after eight rounds a key is a whole window.
+
+Hashes only bring strings together; whether bytes go is always decided by the bytes.
 
 ``later`` mode keeps the first of each repeated string in the order (doc_id, place); ``all`` mode removes every one of them.
 
@@ -31,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tidy
+from .common import cut, h64, tidy
 from .minhash import _lists, _mix
 
-#: Bytes of segments in a group, and segments of a gram beyond which it is counted by window instead.
-GROUP_BYTES = 2_000_000
+#: Bytes of segments in a group, and different segments of a gram beyond which it is split.
+GROUP_BYTES = 1_000_000
 HOT_SEGMENTS = 1_000
 LAST = 2**63 - 1
 
@@ -95,15 +99,15 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(b: bytes, p: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first window, end of windows) of each anchor in order, and the prefix hash; windows are split among anchors."""
+def anchors(b: bytes, p: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, first window, end of windows, place) of each anchor in order, and the prefix hash; windows are split among anchors."""
     prefix = prefix_hash(b)
     g = window_hash(prefix, p.gram)
     # the high half orders, the place breaks ties to the left
     v = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
     at = (sliding_min(v, p.length - p.gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-    return g[at[first]], first, np.append(first[1:], len(at)), prefix
+    return g[at[first]], first, np.append(first[1:], len(at)), at[first], prefix
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,14 +133,20 @@ def gram_sets(keyed: DataFrame, p: RepeatParams) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, key binary, n_bytes long, grams array<long>, own boolean")
 
 
-SEGMENT = "gram long, key binary, place long, low long, n_windows long, multi boolean, seg binary"
+SEGMENT = "gram long, key binary, place long, low long, n_windows long, multi boolean, seg binary, known int, known_to int"
+_NAMES = [x.split()[0] for x in SEGMENT.split(", ")]
+_KINDS = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32()]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
 
 def segments(cand: DataFrame, p: RepeatParams) -> DataFrame:
-    """Segments of candidate texts (key, low, text, grams); rows without a gram are windows that repeat in their own text."""
+    """Segments of candidate texts (key, low, text, grams), with where in them the gram stands; rows without a gram are windows that repeat in their own text."""
 
     def of(key: bytes, low: int, b: bytes, grams: set[int]) -> Iterator[tuple]:
-        g, lo, hi, prefix = anchors(b, p)
+        g, lo, hi, place, prefix = anchors(b, p)
         n = len(b) - p.length + 1
         local = np.zeros(n, bool)
         first = np.ones(n, bool)
@@ -148,25 +158,23 @@ def segments(cand: DataFrame, p: RepeatParams) -> DataFrame:
             first[index] = True
             gone = local if p.mode == "all" else local & ~first
             for s, e in zip(*runs(gone), strict=True):
-                yield None, key, int(s), low, int(e - s), True, None
-        for x, s, e in zip(g.view(np.int64).tolist(), lo.tolist(), hi.tolist(), strict=True):
+                yield None, key, int(s), low, int(e - s), True, None, None, None
+        for x, s, e, at in zip(g.view(np.int64).tolist(), lo.tolist(), hi.tolist(), place.tolist(), strict=True):
             if x in grams:
                 for flag in (False, True):
                     for a, z in zip(*runs(first[s:e] & (local[s:e] == flag)), strict=True):
-                        yield x, key, s + int(a), low, int(z - a), flag, b[s + a : s + z - 1 + p.length]
+                        yield x, key, s + int(a), low, int(z - a), flag, b[s + a : s + z - 1 + p.length], at - s - int(a), at - s - int(a) + p.gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "key", "place", "low", "n_windows", "multi", "seg"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
             rows: list[tuple] = []
             for key, low, text, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows += of(key, low, text.encode("utf-8", "surrogatepass"), set(grams))
                 if len(rows) > 4000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield _batch(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield _batch(rows)
 
     return cand.select("key", "low", "text", "grams").mapInArrow(run, SEGMENT)
 
@@ -241,45 +249,63 @@ def group_repeats(p: RepeatParams):
     return run
 
 
-def hot_windows(segs: DataFrame, p: RepeatParams) -> DataFrame:
-    """(gram, seg_id, at, h, low, place) per window of the segments of hot grams."""
+def split(segs: DataFrame, p: RepeatParams) -> DataFrame:
+    """The windows of segments under longer keys: the known bytes and half of a window's others, on the side where the window holds that half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for gram, seg_id, low, place, seg in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = window_hash(prefix_hash(seg), p.length).view(np.int64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array([gram] * n, pa.int64()), pa.array([seg_id] * n, pa.binary()), pa.array(range(n), pa.int64()), pa.array(h, pa.int64()), pa.array([low] * n, pa.int64()), pa.array(range(place, place + n), pa.int64())], names=["gram", "seg_id", "at", "h", "low", "place"])
-
-    return segs.select("gram", "seg_id", "low", "place", "seg").mapInArrow(run, "gram long, seg_id binary, at long, h long, low long, place long")
+            for i in range(0, b.num_rows, 2000):
+                rows = []
+                for gram, key, place, low, n, multi, seg, known, known_to in zip(*(c.to_pylist() for c in b.slice(i, 2000).columns), strict=True):
+                    other = p.length - (known_to - known)
+                    half = (other + 1) // 2
+                    # windows 0 to known - half hold the left half
+                    left = max(0, min(n, known - half + 1))
+                    if left:
+                        x = seg[: left - 1 + p.length]
+                        rows.append((h64(gram.to_bytes(8, "big", signed=True) + b"<" + seg[known - half : known]), key, place, low, left, multi, x, known - half, known_to))
+                    if left < n:
+                        more = other - half + 1
+                        rows.append((h64(gram.to_bytes(8, "big", signed=True) + b">" + seg[known_to : known_to + more]), key, place + left, low, n - left, multi, seg[left:], known - left, known_to + more - left))
+                yield _batch(rows)
+
+    return segs.select(*_NAMES).mapInArrow(run, SEGMENT)
 
 
 def repeat_ranges(segs: DataFrame, p: RepeatParams) -> DataFrame:
     """(key, at, n): ranges of windows that go, by text; segs as :func:`segments` gives them, in the shared folder."""
-    local = segs.where("gram IS NULL").select("key", F.col("place").alias("at"), F.col("n_windows").alias("n"))
-    occ = segs.where("gram IS NOT NULL").withColumn("seg_id", F.unhex(F.sha2("seg", 256)))
-    first = F.min(F.struct("low", "place", "key")).alias("f")
-    kinds = cut(occ.groupBy("gram", "seg_id", "seg", "n_windows").agg(first, F.count("*").alias("c"), F.max("multi").alias("multi")).select("gram", "seg_id", "seg", "n_windows", F.col("f.low").alias("low"), F.col("f.place").alias("place"), F.col("f.key").alias("first_key"), "c", "multi"))
-    n_of = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
-    many = kinds.join(n_of.where("kinds > 1"), "gram")
-    total = many.where(F.col("kinds") <= HOT_SEGMENTS).agg(F.sum(F.length("seg"))).first()[0] or 0
+    out = segs.where("gram IS NULL").select("key", F.col("place").alias("at"), F.col("n_windows").alias("n"))
+    occ = segs.where("gram IS NOT NULL")
+    while True:
+        occ = occ.withColumn("seg_id", F.unhex(F.sha2("seg", 256)))
+        first = F.min(F.struct("low", "place", "key")).alias("f")
+        kinds = cut(occ.groupBy("gram", "seg_id", "seg", "n_windows").agg(first, F.count("*").alias("c"), F.max("multi").alias("multi")).select("gram", "seg_id", "seg", "n_windows", F.col("f.low").alias("low"), F.col("f.place").alias("place"), F.col("f.key").alias("first_key"), "c", "multi"))
+        n_of = cut(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+        hot = n_of.where(F.col("kinds") > HOT_SEGMENTS).select("gram")
+        over = not hot.isEmpty()
+        if over:
+            kinds, own = kinds.join(hot, "gram", "left_anti"), occ.join(hot, "gram", "left_anti")
+        else:
+            own = occ
+        out = out.unionByName(_settled(own, kinds, n_of.where(F.col("kinds") <= HOT_SEGMENTS), p))
+        if not over:
+            return out
+        occ = cut(split(occ.join(hot, "gram", "left_semi"), p))
+
+
+def _settled(occ: DataFrame, kinds: DataFrame, n_of: DataFrame, p: RepeatParams) -> DataFrame:
+    """Ranges of the windows that go, of grams whose different segments fit into a group."""
+    many = kinds.join(n_of, "gram")
+    total = many.agg(F.sum(F.length("seg"))).first()[0] or 0
     n_groups = max(1, -(-total // GROUP_BYTES))
-    cool = many.where(F.col("kinds") <= HOT_SEGMENTS).withColumn("grp", F.pmod(F.xxhash64("gram"), F.lit(n_groups)).cast("int"))
-    found = cool.select("grp", "gram", "seg_id", "seg", "n_windows", "low", "place").groupBy("grp").applyInPandas(group_repeats(p), "gram long, seg_id binary, at long, n long")
-    # windows of hot grams: kinds of segments that hold one, and the first of them
-    win = hot_windows(many.where(F.col("kinds") > HOT_SEGMENTS), p)
-    counted = win.groupBy("gram", "h").agg(F.count("*").alias("k"), F.min(F.struct("low", "place", "seg_id")).alias("m")).where("k > 1")
-    hot = win.join(counted, ["gram", "h"])
-    if p.mode != "all":
-        hot = hot.where((F.col("m.seg_id") != F.col("seg_id")) | (F.col("m.place") != F.col("place")))
-    found = found.unionByName(hot.select("gram", "seg_id", "at", F.lit(1).cast("long").alias("n")))
+    many = many.withColumn("grp", F.pmod(F.xxhash64("gram"), F.lit(n_groups)).cast("int"))
+    found = many.select("grp", "gram", "seg_id", "seg", "n_windows", "low", "place").groupBy("grp").applyInPandas(group_repeats(p), "gram long, seg_id binary, at long, n long")
     by_kind = occ.select("gram", "seg_id", "key", "place").join(found, ["gram", "seg_id"]).select("key", (F.col("place") + F.col("at")).alias("at"), "n")
     # segments that stand in several places go whole
     whole = occ.select("gram", "seg_id", "key", "place", "n_windows").join(kinds.where("c > 1 OR multi").select("gram", "seg_id", "first_key", F.col("place").alias("first_place"), "c", "multi"), ["gram", "seg_id"])
     if p.mode != "all":
         whole = whole.where((F.col("c") > 1) & ((F.col("key") != F.col("first_key")) | (F.col("place") != F.col("first_place"))))
-    whole = whole.select("key", F.col("place").alias("at"), F.col("n_windows").alias("n"))
-    return local.unionByName(by_kind).unionByName(whole)
+    return by_kind.unionByName(whole.select("key", F.col("place").alias("at"), F.col("n_windows").alias("n")))
 
 
 def remove(b: bytes, ranges: list[tuple[int, int]], length: int) -> tuple[bytes, list[tuple[int, int]]]:
