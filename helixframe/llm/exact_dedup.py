@@ -71,8 +71,8 @@ def slot_of(h, seed, n: int):
 def build_shard(h: np.ndarray, bucket: np.ndarray, n_buckets: int) -> np.ndarray:
     """Displacement seed of each bucket such that all keys of the shard get slots of their own, 0 to n - 1.
 
-    The largest buckets choose first. Seeds go up until every key of the bucket falls on a free slot; a
-    bucket where two keys can never part (equal hash bits) gives seed -1 and is looked up by digest alone.
+    The largest buckets choose first. Seeds go up until every key of the bucket falls on a free slot. Two different
+    digests that agree in their first 180 bits could never part, and raise an error; none such are known.
     """
     n = len(h)
     seeds = np.zeros(n_buckets, np.int64)
@@ -159,6 +159,30 @@ def dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def arrived_earlier(col_name: str = "doc_id"):
+    """Whether a row belongs to the first of two batches, by a hash of its id: how a table is taken as one that arrived in two parts."""
+    return F.pmod(F.xxhash64(col_name), F.lit(2)) == 0
+
+
+def dedup_in_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of :func:`dedup` for a whole table, of which one part is the history of the other.
+
+    The index is built over the distinct digests of the earlier batch alone. Groups of the later one are looked up in it: a member's winner and size
+    are settled with those of its slot, nonmembers group separately; so no group is known before the index has been asked.
+    """
+    keyed = cut(digests(docs, id_col, text_col))
+    index = build_index(cut(groups(keyed.where(arrived_earlier()))))
+    late = cut(groups(keyed.where(~arrived_earlier())))
+    seen = lookup(late.select("digest"), index).select("digest", F.col("keep_id").alias("old_id"), F.col("keep_cp").alias("old_cp"), F.col("group_size").alias("old_size"), "member")
+    late = cut(late.join(seen, "digest"))
+    low = lambda c: F.coalesce(F.col(c), F.lit(2**63 - 1))
+    old_wins = F.col("member") & ((F.col("old_cp") > F.col("keep_cp")) | ((F.col("old_cp") == F.col("keep_cp")) & (low("old_id") <= low("keep_id"))))
+    now = late.select("digest", F.when(old_wins, F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"), (F.col("group_size") + F.coalesce("old_size", F.lit(0))).alias("group_size"))
+    untouched = index.slots.select(F.col("slot_digest").alias("digest"), "keep_id", "group_size").join(late.where("member").select("digest"), "digest", "left_anti")
+    out = keyed.join(now.unionByName(untouched), "digest", "left")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def digest_of(text: str) -> bytes:
     """The digest of one text, for callers outside Spark."""
     return hashlib.sha256(text.encode().translate(None, b" \t\n\x0b\x0c\r")).digest()

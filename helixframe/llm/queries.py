@@ -28,7 +28,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens_once(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+    return token_counts.count_tokens_in_batches(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.dedup_in_batches(table(spark, sf_dir, "documents"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

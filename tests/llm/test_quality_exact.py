@@ -78,3 +78,19 @@ def test_hash_is_minimal_and_perfect():
         h, b = rng.integers(0, 1 << 60, n), rng.integers(0, max(1, n // 4), n)
         seeds = exact_dedup.build_shard(h, b, max(1, n // 4))
         assert sorted(exact_dedup.slot_of(h, seeds[b], n)) == list(range(n))
+
+
+def test_batches_give_what_one_table_gives(spark):
+    r = random.Random(3)
+    texts = ["a b", "ab", "a  b", "", None, " \n", "é", "x" * 300_000, "x" * 150_000 + " " + "x" * 150_000]
+    rows = [(i, r.choice(texts), "clash") for i in range(60)] + [(100 + i, f"once {i}", "clash") for i in range(20)] + [(None, "a b", "clash"), (None, "only here", "clash"), (7, "ab", "clash"), (7, "ab", "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    got = exact_dedup.dedup_in_batches(docs)
+    want = exact_dedup.dedup(docs.drop("digest"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert exact_dedup.dedup_in_batches(docs.limit(0)).count() == 0
+    # both kinds of lookup occur: of the later batch some are members of the earlier one
+    keyed = exact_dedup.digests(docs)
+    index = exact_dedup.build_index(exact_dedup.groups(keyed.where(exact_dedup.arrived_earlier())))
+    late = exact_dedup.lookup(exact_dedup.groups(keyed.where(~exact_dedup.arrived_earlier())).select("digest"), index)
+    assert {x.member for x in late.collect()} == {True, False}

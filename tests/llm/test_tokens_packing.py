@@ -88,3 +88,18 @@ def test_counts_through_cache(spark, tmp_path):
     kept = spark.read.parquet(cache)
     assert kept.count() == 4 and {bytes(r.digest) for r in kept.collect()} >= {hashlib.sha256(b"new one").digest()}
     assert token_counts.count_tokens(docs.limit(0), path, cache).count() == 0
+
+
+def test_a_later_batch_finds_stored_counts(spark, tmp_path, monkeypatch):
+    path, cache = vocabulary_path("byte_bpe_50k.json"), f"file://{tmp_path}/batches"
+    lib = Tokenizer.from_file(path)
+    texts = [None, "", "a b", "a b", "c " * 100_000] + [f"t{i % 20}" for i in range(80)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "a b", 1)], "doc_id long, text string, n_tokens int")
+    encoded = []
+    plain = token_counts.encode_misses
+    monkeypatch.setattr(token_counts, "encode_misses", lambda misses, *a: (encoded.append(misses.count()), plain(misses, *a))[1])
+    rows = token_counts.count_tokens_in_batches(docs, path, cache).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in rows) == sorted((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in [*enumerate(texts), (-1, "a b")])
+    # of 23 texts, each was encoded once, most of them in the earlier batch
+    assert len(encoded) == 2 and sum(encoded) == 23 == spark.read.parquet(cache).count() and 0 < encoded[1] < 23
+    assert token_counts.count_tokens_in_batches(docs.limit(0), path).count() == 0
