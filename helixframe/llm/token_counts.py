@@ -40,11 +40,8 @@ def encode_misses(misses: DataFrame, path: str, version: str) -> DataFrame:
     return misses.select("digest", "text").mapInArrow(run, CACHE)
 
 
-def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 1024, normalise: Callable[[Column], Column] = lambda c: c, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit); new counts are in ``cache`` when this returns.
-
-    ``normalise`` may only be something under which the tokenizer's count doesn't change; texts equal after it share a count.
-    """
+def store_counts(docs: DataFrame, path: str, cache: str, normalise: Callable[[Column], Column] = lambda c: c, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encode one text of each key that ``cache`` has no count for, and append the counts."""
     spark = docs.sparkSession
     version = version_digest(path)
     t = tidy(docs, id_col, text_col)
@@ -53,12 +50,27 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 1024, norm
         known = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).select("digest")
         distinct = distinct.join(known, "digest", "left_anti")
     encode_misses(distinct, path, version).write.mode("append").parquet(cache)
+
+
+def stored_counts(docs: DataFrame, path: str, cache: str, limit: int = 1024, normalise: Callable[[Column], Column] = lambda c: c, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) by the counts in ``cache`` as it is now; null where it has none."""
+    version = version_digest(path)
+    t = tidy(docs, id_col, text_col)
     # two runs at once may both have appended a key, with the same count
-    counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = docs.sparkSession.read.schema(CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     narrow = t.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), _key(F.col("text"), normalise).alias("digest"))
     return narrow.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 1024, normalise: Callable[[Column], Column] = lambda c: c, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit); new counts are in ``cache`` when this returns.
+
+    ``normalise`` may only be something under which the tokenizer's count doesn't change; texts equal after it share a count.
+    """
+    store_counts(docs, path, cache, normalise, id_col, text_col)
+    return stored_counts(docs, path, cache, limit, normalise, id_col, text_col)
+
+
 def count_tokens_in_batches(docs: DataFrame, path: str, cache: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same for a table taken as one that arrived in two batches: the later one finds the counts that the earlier one stored.
 
@@ -67,8 +79,10 @@ def count_tokens_in_batches(docs: DataFrame, path: str, cache: str | None = None
     spark = docs.sparkSession
     own = cache or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     earlier = F.pmod(F.xxhash64(F.col(id_col)), F.lit(2)) == 0
-    first = count_tokens(docs.where(earlier), path, own, limit, id_col=id_col, text_col=text_col)
-    out = cut(first.unionByName(count_tokens(docs.where(~earlier), path, own, limit, id_col=id_col, text_col=text_col)))
+    store_counts(docs.where(earlier), path, own, id_col=id_col, text_col=text_col)
+    store_counts(docs.where(~earlier), path, own, id_col=id_col, text_col=text_col)
+    # one read of the cache: plans of two reads at different times would share the first one's files
+    out = cut(stored_counts(docs, path, own, limit, id_col=id_col, text_col=text_col))
     if cache is None:
         remove(spark, own)
     return out
