@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut
 
-#: Buckets of a source: each is a group of the window that sums within it, and a row of the one that sums over a source.
-BUCKETS = 1024
+#: Rows that a bucket of a source may hold on average if all rows are of one source, and least number of buckets. A bucket is a group of the
+#: window that sums within it, and a row of the one that sums over a source.
+BUCKET_ROWS, BUCKETS = 1 << 16, 1024
 
 
 def word_count(text: Column) -> Column:
@@ -93,7 +94,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), tilts: tuple[floa
 
 def planned(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Rows of :func:`assign` for all documents, those equal in id and text numbered by ``nth``."""
-    plan = assign(cut(sized(docs, seed, id_col, text_col, source_col)), weights, max_epochs)
+    sizes = cut(sized(docs, seed, id_col, text_col, source_col))
+    plan = assign(sizes, weights, max_epochs, max(BUCKETS, 1 << (max(1, sizes.count() // BUCKET_ROWS) - 1).bit_length()))
     return plan.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "h").orderBy("source", "before")))
 
 
