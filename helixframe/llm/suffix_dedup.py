@@ -278,8 +278,9 @@ def repeat_ranges(segs: DataFrame, p: RepeatParams) -> DataFrame:
     occ = segs.where("gram IS NOT NULL")
     while True:
         occ = occ.withColumn("seg_id", F.unhex(F.sha2("seg", 256)))
+        # digests, not bytes, tell how many different segments a gram has
         first = F.min(F.struct("low", "place", "key")).alias("f")
-        kinds = cut(occ.groupBy("gram", "seg_id", "seg", "n_windows").agg(first, F.count("*").alias("c"), F.max("multi").alias("multi")).select("gram", "seg_id", "seg", "n_windows", F.col("f.low").alias("low"), F.col("f.place").alias("place"), F.col("f.key").alias("first_key"), "c", "multi"))
+        kinds = cut(occ.groupBy("gram", "seg_id", "n_windows").agg(first, F.count("*").alias("c"), F.max("multi").alias("multi")).select("gram", "seg_id", "n_windows", F.col("f.low").alias("low"), F.col("f.place").alias("place"), F.col("f.key").alias("key"), "c", "multi"))
         n_of = cut(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"))
         hot = n_of.where(F.col("kinds") > HOT_SEGMENTS).select("gram")
         over = not hot.isEmpty()
@@ -295,14 +296,15 @@ def repeat_ranges(segs: DataFrame, p: RepeatParams) -> DataFrame:
 
 def _settled(occ: DataFrame, kinds: DataFrame, n_of: DataFrame, p: RepeatParams) -> DataFrame:
     """Ranges of the windows that go, of grams whose different segments fit into a group."""
-    many = kinds.join(n_of, "gram")
+    # the bytes of one of each
+    many = cut(occ.select("gram", "key", "place", "seg").join(kinds.join(n_of, "gram").hint("shuffle_hash"), ["gram", "key", "place"]))
     total = many.agg(F.sum(F.length("seg"))).first()[0] or 0
     n_groups = max(1, -(-total // GROUP_BYTES))
     many = many.withColumn("grp", F.pmod(F.xxhash64("gram"), F.lit(n_groups)).cast("int"))
     found = many.select("grp", "gram", "seg_id", "seg", "n_windows", "low", "place").groupBy("grp").applyInPandas(group_repeats(p), "gram long, seg_id binary, at long, n long")
     by_kind = occ.select("gram", "seg_id", "key", "place").join(found, ["gram", "seg_id"]).select("key", (F.col("place") + F.col("at")).alias("at"), "n")
     # segments that stand in several places go whole
-    whole = occ.select("gram", "seg_id", "key", "place", "n_windows").join(kinds.where("c > 1 OR multi").select("gram", "seg_id", "first_key", F.col("place").alias("first_place"), "c", "multi"), ["gram", "seg_id"])
+    whole = occ.select("gram", "seg_id", "key", "place", "n_windows").join(kinds.where("c > 1 OR multi").select("gram", "seg_id", F.col("key").alias("first_key"), F.col("place").alias("first_place"), "c", "multi"), ["gram", "seg_id"])
     if p.mode != "all":
         whole = whole.where((F.col("c") > 1) & ((F.col("key") != F.col("first_key")) | (F.col("place") != F.col("first_place"))))
     return by_kind.unionByName(whole.select("key", F.col("place").alias("at"), F.col("n_windows").alias("n")))
