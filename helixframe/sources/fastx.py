@@ -91,6 +91,12 @@ def check_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.bool_and(F.col("qa").isNotNull() & F.col("qb").isNotNull()).alias("same_count"), F.bool_and(names_match(F.col("qa"), F.col("qb"))).alias("names_match"))
 
 
-def fastx_lines(reads: DataFrame) -> DataFrame:
-    """(read_id, value): FASTQ with qualities, else FASTA."""
-    return reads.select("read_id", F.when(F.col("qual").isNotNull(), F.concat_ws("\n", F.concat(F.lit("@"), "qname"), "seq", F.lit("+"), "qual")).otherwise(F.concat_ws("\n", F.concat(F.lit(">"), "qname"), "seq")).alias("value"))
+def fastx_lines(reads: DataFrame, width: int | None = None) -> DataFrame:
+    """(read_id, value): FASTQ with qualities, else FASTA; sequences and qualities in lines of ``width``, if given."""
+
+    def lined(c: str) -> Column:
+        if width is None:
+            return F.col(c)
+        return F.array_join(F.regexp_extract_all(F.col(c), F.lit(f"(?s).{{1,{width}}}"), F.lit(0)), "\n")
+
+    return reads.select("read_id", F.when(F.col("qual").isNotNull(), F.concat_ws("\n", F.concat(F.lit("@"), "qname"), lined("seq"), F.lit("+"), lined("qual"))).otherwise(F.concat_ws("\n", F.concat(F.lit(">"), "qname"), lined("seq"))).alias("value"))

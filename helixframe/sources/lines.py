@@ -5,7 +5,7 @@ Null in any field of a line gives a null line, except in ``ops``, which counts a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar
@@ -62,12 +62,59 @@ def histogram_bars(h: DataFrame, width: int = 60) -> DataFrame:
     return h.select("lo", F.concat(F.format_string("%8d %8d ", "lo", "n"), bar).alias("line"))
 
 
+def histogram_text(h: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(ord, line) of a histogram file that :func:`read_histogram` reads: a key, then (bins, width, low, high, total, three quartiles), then ``lo n`` a bin, empty bins too.
+
+    h: (lo, width, n); at most some thousand rows.
+    """
+    from ..operators.pairs import quartiles
+
+    one = h.agg(F.min("lo").alias("first"), F.max("lo").alias("last"), F.min("width").alias("w"), F.sum("n").alias("total")).crossJoin(quartiles(sizes).select("q1", "q2", "q3"))
+    every = one.select("w", F.explode(F.expr("sequence(first, last, w)")).alias("lo"))
+    rows = every.join(h.select("lo", "n"), "lo", "left").select(F.col("lo").alias("ord"), F.format_string("%d %d", "lo", F.coalesce("n", F.lit(0)).cast("long")).alias("line"))
+    low = F.lit(-(1 << 40)).cast("long")
+    head = one.select((low + 1).alias("ord"), F.concat_ws(" ", *[F.expr(e).cast("string") for e in ("(last - first) div w + 1", "w", "first", "last + w - 1", "total", "q1", "q2", "q3")]).alias("line"))
+    ends = one.select(F.explode(F.array(F.struct(low.alias("ord"), F.lit(HISTOGRAM).alias("line")), F.struct((-low).alias("ord"), F.lit(HISTOGRAM_END).alias("line")))).alias("x")).select("x.*")
+    return ends.unionByName(head).unionByName(rows)
+
+
+HISTOGRAM, HISTOGRAM_END = "#insert histogram", "#end of histogram"
+
+
+def read_histogram(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """((lo, width, n), the header's numbers) of a file as :func:`histogram_text` gives it; one whose counts don't add up is refused."""
+    lines = [r["value"].strip() for r in spark.read.text(path, wholetext=False).collect()]
+    try:
+        a, z = lines.index(HISTOGRAM), lines.index(HISTOGRAM_END)
+        keys = ("bins", "width", "low", "high", "total", "q1", "q2", "q3")
+        head = dict(zip(keys, map(int, lines[a + 1].split()), strict=True))
+        rows = [tuple(map(int, x.split())) for x in lines[a + 2 : z]]
+    except ValueError as e:
+        raise ValueError(f"{path} is no histogram") from e
+    if len(rows) != head["bins"] or sum(n for _, n in rows) != head["total"] or [lo for lo, _ in rows] != list(range(head["low"], head["low"] + head["bins"] * head["width"], head["width"])):
+        raise ValueError(f"the counts of {path} don't add up")
+    return spark.createDataFrame([(lo, head["width"], n) for lo, n in rows], "lo long, width long, n long"), head
+
+
+def in_input_order(r: DataFrame) -> DataFrame:
+    """Records in the order of reads, mates and their own; sorted in ranges, so files by number are in order."""
+    return r.orderBy("read_id", "mate", "ord")
+
+
 def demote_primaries(r: DataFrame) -> DataFrame:
     """Where a mate has more than one primary record, none of them is primary."""
     n = F.count(F.when(F.col("is_primary"), 1)).over(Window.partitionBy("read_id", "mate"))
     return r.withColumn("is_primary", F.col("is_primary") & (n == 1))
 
 
+def demote_primaries_by_flag(r: DataFrame) -> DataFrame:
+    """SAM records where a mate with several primary ones keeps the best of them primary; the others, and only they, get the bit of secondary ones."""
+    primary = F.col("flag").bitwiseAND(F.lit(0x100)) == 0
+    nth = F.row_number().over(Window.partitionBy("read_id", "mate", primary).orderBy(F.col("as_score").desc(), F.col("mapq").desc(), "pair_no", "rname", "pos", "cigar"))
+    r = r.withColumn("_nth", nth)
+    return r.withColumn("flag", F.when(primary & (F.col("_nth") > 1), F.col("flag").bitwiseOR(F.lit(0x100))).otherwise(F.col("flag"))).drop("_nth")
+
+
 def report_order(r: DataFrame) -> DataFrame:
     """Records once each, with ``out_group`` (0: pairs, then leftovers of mate 1 and 2) and ``ord`` within the read.
 
