@@ -40,7 +40,7 @@ from .minhash import _lists, _mix
 
 #: Bytes of segments in a group, and different segments of a gram beyond which it is split.
 GROUP_BYTES = 1_000_000
-HOT_SEGMENTS = 1_000
+HOT_SEGMENTS = 100
 LAST = 2**63 - 1
 
 
