@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from helixframe.plans.queries import ORACLE, QUERIES
+from helixframe.plans.more import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark".split()
