@@ -122,7 +122,7 @@ def explicit_alignment(q: Column, r: Column, ops: Column, q_start: Column, r_sta
 
     q and r are the aligned bases in the reference's direction; of a turned read places count down from q_end.
     """
-    from ..functions.cigar import each
+    from ..functions.cigar import each, let
 
     cols = F.transform(
         each(ops),
@@ -133,10 +133,7 @@ def explicit_alignment(q: Column, r: Column, ops: Column, q_start: Column, r_sta
             x["op"].alias("op"), x["q"].alias("qi"), x["r"].alias("ri"),
         ),
     )
-    n = F.size(cols)
-
-    def block(i: Column) -> Column:
-        own = F.slice(cols, i * width + 1, F.lit(width))
+    def block(own: Column) -> Column:
         text = lambda f: F.array_join(F.transform(own, lambda c: c[f]), "")
         first, last = own[0], F.element_at(own, -1)
         end = lambda c, f, gap: c[f] - F.when(c["op"] == gap, 1).otherwise(0)
@@ -147,4 +144,8 @@ def explicit_alignment(q: Column, r: Column, ops: Column, q_start: Column, r_sta
             F.format_string("%10d %s %-10d", (r_start + first["ri"]).cast("long"), text("r"), (r_start + end(last, "ri", "I")).cast("long")),
         )
 
-    return F.flatten(F.transform(F.when(n > 0, F.sequence(F.lit(0), F.expr("0") + F.floor((n - 1) / width).cast("int"))).otherwise(F.array().cast("array<int>")), block))
+    def blocks(c: Column) -> Column:
+        starts = F.when(F.size(c) > 0, F.sequence(F.lit(0), F.floor((F.size(c) - 1) / width).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(starts, lambda i: let(F.slice(c, i * width + 1, F.lit(width)), block)))
+
+    return let(cols, blocks)
