@@ -187,7 +187,10 @@ def full_sets(t: DataFrame, p: MinHashParams) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(doc, comp) with comp the least doc reachable; nodes (doc), edges (a, b). Every round also jumps to labels' labels."""
+    """(doc, comp) with comp the least doc reachable; nodes (doc), edges (a, b). Every round also jumps to labels' labels.
+
+    So rounds grow with the logarithm of the longest chain of links; a chain that isn't settled after ``max_rounds`` (of over 2^50 links, about) is an error, never a result.
+    """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     # as many map tasks as the rows are worth: few files for a small graph
     few = max(4, -(-both.count() // 100_000))

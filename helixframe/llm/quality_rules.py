@@ -145,7 +145,10 @@ def measure(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
-    """The documents that are kept, all their columns, with the cleaned text (and its length, where there is such a column)."""
+    """The documents that are kept, all their columns, with the cleaned text (and its length, where there is such a column).
+
+    Columns go by place once the text's is found; of several of that name the first is cleaned, the others are carried as they are.
+    """
     schema = docs.schema
     at = schema.names.index(text_col)
     n_at = schema.names.index(n_chars_col) if n_chars_col in schema.names else None

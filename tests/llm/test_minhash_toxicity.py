@@ -173,3 +173,24 @@ def test_parities_rule_out_no_linked_set():
     for i, a in enumerate(sets):
         linked = {j for j, b in enumerate(sets) if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))}
         assert linked <= set(par.near(i).tolist())
+
+
+def test_toxicity_query_on_held_out_documents(spark):
+    from helixframe.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in queries.op9_toxicity(spark, sf).collect()}
+    labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None]
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == toxicity.held_out(r.doc_id) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows.values())
+    held = [(rows[r.doc_id].predicted, r.toxic) for r in labels if toxicity.held_out(r.doc_id)]
+    assert sum(p == y for p, y in held) >= 0.95 * len(held) and sum(p and y for p, y in held) >= 0.8 * sum(y for _, y in held)
+
+
+def test_very_long_and_odd_texts_are_scored(spark):
+    docs, labels = make(200, 3)
+    long = "word1 word2. " * 60_000 + "vile. " + "x" * 200_000
+    d = spark.createDataFrame([*docs, (900, long), (901, "." * 100_000), (902, "\n \n"), (902, "\n \n")], "doc_id long, text string")
+    model = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = [r for r in toxicity.score_documents(d, model).collect() if r.doc_id >= 900]
+    assert len(out) == 4 and all(0 <= r.score <= 1 for r in out) and {r.score for r in out if r.doc_id > 900} == {0.0}

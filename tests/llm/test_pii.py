@@ -139,3 +139,25 @@ def test_collisions_are_found(spark):
     docs = spark.createDataFrame([(1, TEXT), (2, TEXT.upper()), (None, None)], "doc_id long, text string")
     out = pii.pseudonymise(docs, KEY)
     assert pii.collisions(pii.found_in(out)).count() == 0 and pii.found_in(out).count() > 12
+
+
+def test_query_over_a_whole_table(spark):
+    """Texts differ from the originals just in the spans that are listed, and hold none of what a plain search finds."""
+    from helixframe.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in queries.op8_pii(spark, sf).collect()}
+    plain = re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}|(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.])|(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(docs) == len(rows) and {r.n_collisions for r in rows.values()} == {0}
+    seen = 0
+    for d in docs:
+        r, text, at, out = rows[d.doc_id], d.text or "", 0, []
+        for e in r.entities:
+            out += text[at : e.start], e.surrogate
+            at = e.end
+        assert "".join(out) + text[at:] == r.text and r.n_entities == len(r.entities)
+        hits = [x for x in plain.findall(text) if all(int(y) < 256 for y in x.split(".") if y.isdigit()) or "@" in x]
+        seen += len(hits)
+        assert all(x not in r.text for x in hits)
+    assert seen > 3
