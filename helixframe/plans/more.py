@@ -222,9 +222,11 @@ def mismatches_to_operations(spark, d):
 @query(f"WITH {CIG} SELECT read_id, ln, CAST(list_sum(list_transform(range(x + 3, 2 * x + 3), lambda a: ((a + 2) * 31 + ln) % 41)) AS BIGINT) AS total FROM cg")
 def mismatch_qualities(spark, d):
     """Sum of the qualities at mismatches of reads aligned from their third base on."""
-    n = cigar.query_span(F.col("ops")) + 2
-    qual = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.char((33 + (i * 31 + F.col("ln")) % 41))), "")
-    return cigars(spark, d).withColumn("qual", qual).select("read_id", "ln", cigar.mismatch_quality(F.col("ops"), F.col("qual"), F.lit(3)).cast("long").alias("total"))
+    # place i has quality (31 i + ln) mod 41, which comes round every 41 places; 31 * 4 mod 41 = 1, so that of ln begins at place 4 ln
+    round_ = "".join(chr(33 + i * 31 % 41) for i in range(41))
+    c = cigars(spark, d).withColumns({"n": cigar.query_span(F.col("ops")) + 2, "from": F.pmod(F.col("ln").cast("int") * 4, F.lit(41))})
+    qual = F.substring(F.repeat(F.lit(round_), F.expr("cast(2 + n div 41 AS int)")), F.col("from") + 1, F.col("n"))
+    return c.withColumn("qual", qual).select("read_id", "ln", cigar.mismatch_quality(F.col("ops"), F.col("qual"), F.lit(3)).cast("long").alias("total"))
 
 
 @query(f"WITH {CIG} SELECT read_id, ln, '0:0:' || (x + 3) || ',' || (2 * x + 3) || ':' || (2 * x + 3) || ':5,' || (2 * x + 8 + i) || ':' || (2 * x + 8) || ':' || m || ',' || (2 * x + 8 + i + m) || ':' || (2 * x + 8 + m + dl) || ':7' AS runs FROM cg")
