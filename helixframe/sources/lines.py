@@ -46,13 +46,15 @@ def gff2_lines(a: DataFrame, keys: list[str], program: str = PROGRAM) -> DataFra
 
     def block(x: Column) -> Column:
         q = F.when(F.col("strand") == "+", x["q"].cast("long")).otherwise(width - x["q"])
-        return F.format_string(" Align %d %d %d;", q + 1, x["r"] + 1, x["len"])
+        return F.concat(F.lit(" Align "), (q + 1).cast("string"), F.lit(" "), (x["r"] + 1).cast("string"), F.lit(" "), x["len"].cast("string"), F.lit(";"))
 
     blocks = F.transform(cigar.blocks(_ops()), block)
     text = F.when(F.size(blocks) > 0, F.array_join(blocks, "")).otherwise(F.lit(" Align 0 0 0;"))
     a = a.withColumns({"q1": q1, "q2": q2})
-    head = F.format_string(f'gff: %s\t{program}\tsimilarity\t%d\t%d\t%d\t%s\t.\tSubject "%s" %d %d;\t', "qname", "q1", "q2", "sw_score", "strand", "rname", "r_start", "r_end")
-    return a.select(*keys, F.concat(head, text).alias("line"))
+    n = lambda c: F.col(c).cast("string")
+    tab, blank = F.lit("\t"), F.lit(" ")
+    line = F.concat(F.lit("gff: "), "qname", F.lit(f"\t{program}\tsimilarity\t"), n("q1"), tab, n("q2"), tab, n("sw_score"), tab, "strand", F.lit('\t.\tSubject "'), "rname", F.lit('" '), n("r_start"), blank, n("r_end"), F.lit(";\t"), text)
+    return a.select(*keys, line.alias("line"))
 
 
 def histogram_bars(h: DataFrame, width: int = 60) -> DataFrame:
