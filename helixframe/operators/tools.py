@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import encode, phred, reverse_complement, segment
+from ..storage import cut
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
-    """Rows numbered from 0 in an order, without sorting them in one task: ranges are sorted, their sizes summed, and numbers added up."""
-    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
+    """Rows numbered from 0 in an order, without sorting them in one task: ranges are sorted, their sizes summed, and numbers added up.
+
+    The ranges are written to the shared folder: dealt a second time, for their sizes, they could be others.
+    """
+    d = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id()))
     d = d.withColumn("_part", F.shiftright("_i", 33))
     size = d.groupBy("_part").agg(F.count("*").alias("_n"))
     # a row a partition
