@@ -75,7 +75,7 @@ def work_cap(hits_used: Column, hits_total: Column, aligned: Column, candidates:
 
 def placement_probability(mapq: Column, n_best: Column, n_second: Column, sw_rank: Column) -> Column:
     """Probability of a placement: 1 - 10^(-mapq / 10) of a single best, the rest among the second best; of several best an equal share."""
-    error = F.exp(-F.log(F.lit(10.0)) * mapq / 10)
+    error = F.pow(F.lit(10.0), -mapq / 10)
     return F.when(n_best > 1, F.when(sw_rank == 0, 1 / n_best).otherwise(0.0)).when(sw_rank == 0, 1 - error).when(sw_rank == 1, error / F.greatest(n_second, F.lit(1))).otherwise(0.0)
 
 

@@ -29,7 +29,8 @@ def weighted(p: DataFrame) -> DataFrame:
 
 #: Prior mass of proper pairs, of those within the insert limits among them, and of all others.
 PROPER, INSIDE = 0.9999, 0.997
-OUTSIDE, IMPROPER = 1 - INSIDE, 1 - PROPER
+#: Written out: 1 - 0.997 and 1 - 0.9999 are other doubles, and a share that lies halfway would be rounded the other way.
+OUTSIDE, IMPROPER = 0.003, 0.0001
 #: Pairs of a read that are looked at when only proper ones are wanted.
 MOST_PAIRS = 1028
 
