@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import scores
-from helixframe.operators import pairs, tools
+from helixframe.operators import index, pairs, tools
 
 
 @contextmanager
@@ -35,3 +35,33 @@ def test_masses_of_pairs_are_those_of_the_written_priors(spark):
     row = spark.range(1).select(third.alias("third"), sure.alias("sure"), (1 - sure).alias("rest")).first()
     assert (row.third, row.sure) == (1 / 3, 1 - 0.01)
     assert (pairs.OUTSIDE, pairs.IMPROPER) == (0.003, 0.0001)
+
+
+def plan(d):
+    return d._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("rows", [500_000, 10])
+def test_spans_are_split_without_moving_their_parts(spark, monkeypatch, rows):
+    monkeypatch.setattr(index, "BROADCAST_ROWS", rows)
+    sizes = [(i * 37) % 11 * (i % 5 > 0) for i in range(700)]
+    ahead = [sum(sizes[:i]) for i in range(700)]
+    refs = spark.createDataFrame([(i * 3, n) for i, n in enumerate(sizes)], "seq_idx long, length long")
+    refs = refs.join(index.offsets(refs), "seq_idx")
+    spans = [(i, 1, i * 29 % 2900 - 2, i * 29 % 2900 + i * 7 % 2400) for i in range(200)] + [(999, 2, 10**6, 10**6 + 5)]
+    got = index.split_spans(spark.createDataFrame(spans, "read_id long, mate int, t_start long, t_end long"), refs)
+    want = []
+    for r, m, a, z in spans:
+        own = [(i * 3, max(a - 1, o) - o + 1, min(z, o + n) - o) for i, (n, o) in enumerate(zip(sizes, ahead, strict=True)) if n and a - 1 < o + n and z - 1 >= o]
+        want += [(r, m, a, z, *x, k + 1, len(own)) for k, x in enumerate(own)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Window" not in plan(got)
+
+
+def test_distinct_windows_are_dealt_once(spark):
+    refs = spark.createDataFrame([(1, 9000, "ACGTT" * 1800), (2, 3, "GGG"), (3, 0, "")], "seq_idx long, length long, bases string")
+    w = spark.createDataFrame([(1, 4090, 20), (1, 4090, 20), (1, 8990, 20), (1, 9000, 5), (2, 1, 9), (2, 3, 1), (3, 0, 1), (7, 0, 1)], "seq_idx long, left long, size long")
+    with conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        got = index.fetch_distinct(w, refs, 20)
+        assert sorted(map(tuple, got.collect())) == [(1, 4090, 20, "ACGTT" * 4), (1, 8990, 20, "ACGTT" * 2), (2, 1, 9, "GG")]
+        assert plan(got).split("Initial Plan")[0].count("ShuffleQueryStage") == 2 or plan(got).count("Exchange hashpartitioning") == 2
