@@ -165,7 +165,7 @@ def offset_lookup(spark, d):
 
 @query(f"WITH {INDEX} SELECT seq_idx, count(*) AS n_words, count(DISTINCT word) AS n_distinct FROM ix GROUP BY seq_idx")
 def words_per_sequence(spark, d):
-    return kindex(spark, d).groupBy("seq_idx").agg(F.count("*").alias("n_words"), F.countDistinct("word").alias("n_distinct"))
+    return index.distinct_words(index.with_offsets(refs(spark, d)), K, S)
 
 
 @query(f"WITH {READS} SELECT read_id, c.base, CASE WHEN c.base IN ('A', 'G') THEN 'purine' ELSE 'pyrimidine' END AS base_class, count(*) AS n FROM (SELECT read_id, unnest(string_split(seq, '')) AS base FROM reads) c GROUP BY ALL")
