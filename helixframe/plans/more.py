@@ -440,8 +440,8 @@ def fastq_scan(spark, d):
 
 @query(f"WITH {RECORDS}, o AS (SELECT qname, seq, row_number() OVER (ORDER BY id) - 1 AS i FROM rec WHERE flag & 64 > 0) SELECT i AS read_id, unnest([1, 2]) AS mate, qname, seq FROM o")
 def fastq_pairs(spark, d):
-    """Two FASTQ files in one order, read by lines and put together."""
-    r = made_records(spark, d).where(F.col("flag").bitwiseAND(F.lit(64)) > 0).orderBy("read_id").coalesce(1)
+    """Two folders of FASTQ files in one order, sorted by ranges, read by lines and put together."""
+    r = made_records(spark, d).where(F.col("flag").bitwiseAND(F.lit(64)) > 0).orderBy("read_id")
     at = [written(spark, "mates", lambda p: fastx.fastx_lines(r).select("value").write.text(p)) for _ in range(2)]
     return fastx.pair_up(*(fastx.read_fastq_lines(spark, p) for p in at)).select("read_id", "mate", "qname", "seq")
 

@@ -45,25 +45,33 @@ def read_fastx(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         import gzip
+        import io
+        from itertools import islice
 
         import pandas as pd
 
         for b in batches:
-            rows = []
             for raw in b["content"]:
-                text = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else bytes(raw)
-                rows += [(i, *r) for i, r in enumerate(parse_fastx(text.decode("latin-1").splitlines()))]
-            yield pd.DataFrame(rows, columns=["read_id", "qname", "seq", "qual"])
+                # records are parsed as they are unpacked, AT_ONCE of them at a time
+                file = io.BytesIO(raw)
+                rows = enumerate(parse_fastx(io.TextIOWrapper(gzip.GzipFile(fileobj=file) if raw[:2] == b"\x1f\x8b" else file, "latin-1")))
+                while some := [(i, *r) for i, r in islice(rows, AT_ONCE)]:
+                    yield pd.DataFrame(some, columns=["read_id", "qname", "seq", "qual"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)
 
 
+#: Records that are held at once while a file is read.
+AT_ONCE = 10_000
+
+
 def read_fastq_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Four-line FASTQ of any size: lines numbered along partitions, then dealt by four."""
-    t = spark.read.text(path).withColumn("i", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
-    size = t.groupBy("part").agg(F.count("*").alias("n"))
-    size = size.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-    t = t.join(size, "part").withColumn("line", F.col("ahead") + F.col("i").bitwiseAND(F.lit((1 << 33) - 1)))
+    """Four-line FASTQ of any size, a file or a folder of files that follow each other by name: lines numbered along parts of files, then dealt by four."""
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("from"), F.monotonically_increasing_id().alias("i"))
+    # a row a part of a file, whose lines are numbered without gaps
+    size = t.groupBy("file", "from").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    size = size.select("file", "from", "first", (F.sum("n").over(Window.orderBy("file", "from")) - F.col("n")).alias("ahead"))
+    t = t.join(F.broadcast(size), ["file", "from"]).withColumn("line", F.col("ahead") + F.col("i") - F.col("first"))
     part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
     g = t.groupBy(F.expr("line div 4").alias("read_id")).agg(part(0).alias("qname"), part(1).alias("seq"), part(3).alias("qual"))
     return g.select("read_id", F.regexp_replace(F.substring("qname", 2, 1 << 20), r"\s+", " ").alias("qname"), "seq", "qual")
