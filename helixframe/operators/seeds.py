@@ -44,9 +44,11 @@ def hit_counts(words: DataFrame, counts: DataFrame, max_hits: int) -> DataFrame:
 def looked_up(words: DataFrame, ix: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Words with nhits, their number of places, and the part of the index that holds them.
 
-    That part is made once, for both the counts and the places: of an index that is computed, not stored, one pass.
+    That part is made once, for both the counts and the places: of an index that is computed, not stored, one pass. Few enough
+    different words are sent to the index; the index is dealt out only for more.
     """
-    used = cut(ix.join(words.select("word").distinct(), "word", "left_semi"))
+    asked = cut(words.select("word").distinct())
+    used = cut(ix.join(F.broadcast(asked) if asked.count() <= index.BROADCAST_ROWS else asked, "word", "left_semi"))
     return words.join(index.word_counts(used), "word"), used
 
 
